@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: (state, lower-case member) -> state of the list below it.
 TRANSITIONS = {("document", "value"): "cases", ("case", "media"): "media", ("record", "exifs"): "exifs"}
 #: Columns of the typed tables and the members they come from.
@@ -121,8 +123,7 @@ def shred(raw: DataFrame, nodes: tuple[str, ...] = ("case", "media", "exif")) ->
         if rows:
             yield _frame(rows)
 
-    # A row weighs as much as its body: small batches keep few bodies in a Python worker at once.
-    return raw.select("raw_id", "body").where(F.col("raw_id").isNotNull() & F.col("body").isNotNull()).mapInPandas(run, NODES)
+    return spread(raw.select("raw_id", "body").where(F.col("raw_id").isNotNull() & F.col("body").isNotNull())).mapInPandas(run, NODES)
 
 
 def case_table(raw: DataFrame) -> DataFrame:

@@ -39,3 +39,13 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
+    """Give a plain scan at least ``per_core`` partitions for every core of the cluster.
+
+    Work that costs much more than reading (Python over whole texts) should not depend on how few files or
+    row groups a table happens to have. Scans that are split finely enough already are left alone.
+    """
+    wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
