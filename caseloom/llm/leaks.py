@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 SHINGLE, WINDOW = 5, 3
 #: An item counts as contained from this part of its words on; the data has nothing between 0.3 and 0.6.
 LEAST_PART = 0.47
@@ -212,11 +214,12 @@ def leaked_items(documents: DataFrame, items: DataFrame, items_per_pass: int = I
     few words changed, added or dropped. Null and empty texts contain nothing and are contained in nothing;
     items of fewer than five words cannot be told from chance and are not looked for. Repeated rows count
     once, null ids are left out, extra columns are ignored. The items of one pass (a bounded number) travel
-    to every task; documents are read whole, in place, without a shuffle.
+    to every task; documents are read whole and are never joined or grouped.
     """
     wanted = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
     passes = max(1, -(-wanted.count() // items_per_pass))
     kind = dict(items.dtypes)["item_id"]
+    texts = spread(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"))
     out = None
     for k in range(passes):
         block = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else wanted
@@ -228,6 +231,6 @@ def leaked_items(documents: DataFrame, items: DataFrame, items_per_pass: int = I
                 rows = [(d, i) for d, t in zip(batch["doc_id"], batch["text"]) for i in sorted(set(items_in(vocabulary.hashes(words_of(t)), index)))]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
 
-        found = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(run, f"doc_id long, item_id {kind}")
+        found = texts.mapInPandas(run, f"doc_id long, item_id {kind}")
         out = found if out is None else out.unionByName(found)
     return out.distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import clusters, groups, leaks, survivors, tokens
+from . import clusters, groups, leaks, levels, survivors, tokens
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,5 +37,9 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_records, p5_found, p8_ids, p9_found)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return levels.reading_levels(table(spark, folder, "documents"), table(spark, folder, "level_labels")).select("doc_id", "level")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_records, p5_found, p8_ids, p9_found, p10_found)}
 SQL: dict[str, str] = {}

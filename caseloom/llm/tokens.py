@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Default place of the vocabulary files; a parameter of every function that reads one.
 VOCABULARIES = "/opt/tokenizers"
 #: Fixed value: the public pattern that cuts texts into pre-tokens, white space by its Unicode property.
@@ -119,4 +121,4 @@ def encode_documents(documents: DataFrame, vocabulary: str = f"{VOCABULARIES}/by
                 yield pd.DataFrame({key: part[key], "ids": [encoder.encode(t) for t in part[text]]})
 
     schema = f"{key} {dict(documents.dtypes)[key]}, ids array<int>"
-    return documents.select(key, F.col(text)).mapInPandas(run, schema)
+    return spread(documents.select(key, F.col(text))).mapInPandas(run, schema)
