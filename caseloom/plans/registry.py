@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import case_queries, problems
 
-QUERIES = {**problems.QUERIES}
-SQL: dict[str, str] = {}
+QUERIES = {**case_queries.QUERIES, **problems.QUERIES}
+SQL: dict[str, str] = {**case_queries.SQL}
