@@ -110,9 +110,9 @@ def size_text(n: Column) -> Column:
     return (
         F.when(n.isNull(), "")
         .when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024**2, F.concat(F.format_string("%.1f", n / 1024.0), F.lit(" KB")))
-        .when(n < 1024**3, F.concat(F.format_string("%.1f", n / 1024.0**2), F.lit(" MB")))
-        .otherwise(F.concat(F.format_string("%.1f", n / 1024.0**3), F.lit(" GB")))
+        .when(n < 1024**2, F.concat(F.format_string("%.1f", F.bround(n / 1024.0, 1)), F.lit(" KB")))
+        .when(n < 1024**3, F.concat(F.format_string("%.1f", F.bround(n / 1024.0**2, 1)), F.lit(" MB")))
+        .otherwise(F.concat(F.format_string("%.1f", F.bround(n / 1024.0**3, 1)), F.lit(" GB")))
     )
 
 

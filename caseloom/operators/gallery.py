@@ -207,7 +207,7 @@ def parse_column_filter(column: str, text: str) -> list[tuple[str, str, str]]:
         return [(column, "set", "")]
     if t.lower() in ("none", "empty", "null"):
         return [(column, "notset", "")]
-    if m := re.fullmatch(r"(.+?)\s*(?:\.\.|\bto\b|(?<=\w)-(?=\w))\s*(.+)", t):
+    if m := re.fullmatch(r"(.+?)\s*(?:\.\.|\bto\b|-)\s*(.+)", t):
         lo, hi = _number(column, m[1]), _number(column, m[2])
         if lo is not None and hi is not None:
             return [(column, "min", repr(min(lo, hi))), (column, "max", repr(max(lo, hi)))]

@@ -20,16 +20,17 @@ SQL: dict[str, str] = {}
 #: Files once each; stand-ins for relations the test tables do not have are derived alike in both engines.
 _WITH = """WITH f AS (SELECT DISTINCT * FROM files),
 r AS (SELECT DISTINCT * FROM vic_records),
-e0 AS (SELECT source AS set_name, CASE WHEN media_id % 3 = 0 THEN 'global' WHEN media_id % 3 = 1 THEN 'case' ELSE 'stash' END AS store,
-  CASE WHEN category = 0 THEN 'known-good' ELSE 'known' END AS kind, media_id % 2 = 0 AS vic, category, lower(trim(md5)) AS m, lower(trim(sha1)) AS s FROM r),
+e0 AS (SELECT source AS set_name, CASE WHEN id % 3 = 0 THEN 'global' WHEN id % 3 = 1 THEN 'case' ELSE 'stash' END AS store,
+  CASE WHEN id % 5 = 0 THEN 'known-good' ELSE 'known' END AS kind, id % 2 = 0 AS vic, CASE WHEN id % 4 < 3 THEN (id % 4)::INTEGER END AS category, lower(trim(md5)) AS m, lower(trim(sha1)) AS s, lower(trim(sha256)) AS t FROM f WHERE id % 7 = 0 AND source IS NOT NULL),
 entries AS (SELECT set_name, store, kind, vic, category, 'md5' AS algo, m AS value FROM e0 WHERE regexp_full_match(m, '[0-9a-f]{32}') AND m <> 'd41d8cd98f00b204e9800998ecf8427e'
-  UNION ALL SELECT set_name, store, kind, vic, category, 'sha1', s FROM e0 WHERE regexp_full_match(s, '[0-9a-f]{40}') AND s <> 'da39a3ee5e6b4b0d3255bfef95601890afd80709'),
+  UNION ALL SELECT set_name, store, kind, vic, category, 'sha1', s FROM e0 WHERE regexp_full_match(s, '[0-9a-f]{40}') AND s <> 'da39a3ee5e6b4b0d3255bfef95601890afd80709'
+  UNION ALL SELECT set_name, store, kind, vic, category, 'sha256', t FROM e0 WHERE regexp_full_match(t, '[0-9a-f]{64}') AND t <> 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855'),
 fd AS (SELECT id, 'md5' AS algo, lower(trim(md5)) AS value FROM f WHERE regexp_full_match(lower(trim(md5)), '[0-9a-f]{32}')
   UNION ALL SELECT id, 'sha1', lower(trim(sha1)) FROM f WHERE regexp_full_match(lower(trim(sha1)), '[0-9a-f]{40}')
   UNION ALL SELECT id, 'sha256', lower(trim(sha256)) FROM f WHERE regexp_full_match(lower(trim(sha256)), '[0-9a-f]{64}')),
 hits0 AS (SELECT fd.id, fd.algo, fd.value, e.set_name, e.store, e.kind, e.vic, e.category, row_number() OVER (PARTITION BY fd.id, e.set_name ORDER BY
   CASE fd.algo WHEN 'sha256' THEN 0 WHEN 'sha1' THEN 1 ELSE 2 END, CASE e.store WHEN 'case' THEN 0 WHEN 'stash' THEN 1 ELSE 2 END, coalesce(e.category, 9999), fd.algo, e.store, e.kind, e.vic, fd.value) AS rn
-  FROM fd JOIN entries e ON e.algo = fd.algo AND e.value = fd.value WHERE fd.value NOT IN ('d41d8cd98f00b204e9800998ecf8427e','da39a3ee5e6b4b0d3255bfef95601890afd80709')),
+  FROM fd JOIN entries e ON e.algo = fd.algo AND e.value = fd.value WHERE fd.value NOT IN ('d41d8cd98f00b204e9800998ecf8427e','da39a3ee5e6b4b0d3255bfef95601890afd80709','e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855')),
 hits AS (SELECT * EXCLUDE (rn) FROM hits0 WHERE rn = 1),
 bits AS (SELECT *, CASE WHEN kind = 'known-good' THEN 8 WHEN vic THEN 1 WHEN store = 'stash' THEN 2 ELSE 4 END AS bit FROM hits),
 ph AS (SELECT id, ('0x' || lower(trim(phash)))::UBIGINT AS h, CASE WHEN regexp_full_match(lower(trim(dhash)), '[0-9a-f]{16}') THEN ('0x' || lower(trim(dhash)))::UBIGINT END AS d
@@ -48,12 +49,12 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, folder: str) -> DataFrame:
-    """Hash-set entries out of the imported records: one set per source."""
-    m = F.col("media_id") % 3
-    digests = F.explode(F.array(*[F.struct(F.lit(a).alias("algo"), hex_digits(F.col(a), n).alias("value")) for a, n in (("md5", 32), ("sha1", 40))]))
-    rows = records(spark, folder).select(
-        F.col("source").alias("set_name"), F.when(m == 0, "global").when(m == 1, "case").otherwise("stash").alias("store"),
-        F.when(F.col("category") == 0, "known-good").otherwise("known").alias("kind"), (F.col("media_id") % 2 == 0).alias("vic"), "category", digests.alias("x"),
+    """Hash-set entries, a stand-in for lists the tables do not have: the digests of some files, a set per source."""
+    i = F.col("id")
+    digests = F.explode(F.array(*[F.struct(F.lit(a).alias("algo"), hex_digits(F.col(a), n).alias("value")) for a, n in (("md5", 32), ("sha1", 40), ("sha256", 64))]))
+    rows = files(spark, folder).where((i % 7 == 0) & F.col("source").isNotNull()).select(
+        F.col("source").alias("set_name"), F.when(i % 3 == 0, "global").when(i % 3 == 1, "case").otherwise("stash").alias("store"),
+        F.when(i % 5 == 0, "known-good").otherwise("known").alias("kind"), (i % 2 == 0).alias("vic"), F.when(i % 4 < 3, (i % 4).cast("int")).alias("category"), digests.alias("x"),
     )
     rows = rows.select("set_name", "store", "kind", "vic", "category", "x.algo", "x.value")
     return rows.where(F.col("value").isNotNull() & ~F.col("value").isin(*schema.EMPTY_HASHES))
@@ -86,15 +87,15 @@ def gallery_query(name: str, q: FileQuery, where: str, columns: tuple[str, ...]
 
 
 # --- gallery predicates -------------------------------------------------------------------------------
-gallery_query("f01_stack_members", FileQuery(stack=15, kind="video"), "stack_id = 15", alone=True)
-gallery_query("f02_container_members", FileQuery(container=740), "container_id = 740 AND kind <> 'archive'", alone=True)
+gallery_query("f01_stack_members", FileQuery(stack=228, kind="video"), "stack_id = 228", alone=True)
+gallery_query("f02_container_members", FileQuery(container=2673), "container_id = 2673 AND kind <> 'archive'", alone=True)
 gallery_query("f03_kind", FileQuery(kind="video"), "kind = 'video'")
 gallery_query("f03_default_kind", FileQuery(), "true")
 gallery_query("f05_source", FileQuery(source="handset_b"), "source = 'handset_b'")
 gallery_query("f06_origin", FileQuery(origin="carve"), "origin = 'carve'")
 gallery_query("f06_origin_unknown_ignored", FileQuery(origin="nowhere", source="usb_a"), "source = 'usb_a'")
 gallery_query("f08_category", FileQuery(category=1), "category = 1")
-gallery_query("f12_cluster", FileQuery(cluster=1994), "cluster_id = 1994")
+gallery_query("f12_cluster", FileQuery(cluster=130), "cluster_id = 130")
 gallery_query("f20_gps_and_size", FileQuery(has_gps=True, min_size=300_000), "gps_lat IS NOT NULL AND gps_lon IS NOT NULL AND size >= 300000")
 gallery_query(
     "f19_has_exact_duplicates", FileQuery(has_duplicates="exact"), "stack_id IN (SELECT stack_id FROM f GROUP BY 1 HAVING count(*) > 1)"
@@ -259,12 +260,12 @@ def j01_known_hashes(spark, folder):
 
 
 @query("""SELECT p.id, arg_min(l.set_name, (bit_count(xor(p.h, l.h)), l.set_name, l.value)) AS set_name, arg_min(l.value, (bit_count(xor(p.h, l.h)), l.set_name, l.value)) AS value, min(bit_count(xor(p.h, l.h)))::INTEGER AS distance
-FROM ph p JOIN (SELECT DISTINCT source AS set_name, lower(trim(phash)) AS value, ('0x' || lower(trim(phash)))::UBIGINT AS h FROM f WHERE id % 40 = 0 AND regexp_full_match(lower(trim(phash)), '[0-9a-f]{16}')) l
+FROM ph p JOIN (SELECT DISTINCT source AS set_name, lower(trim(phash)) AS value, ('0x' || lower(trim(phash)))::UBIGINT AS h FROM f WHERE id % 4 = 0 AND source IS NOT NULL AND regexp_full_match(lower(trim(phash)), '[0-9a-f]{16}')) l
 ON bit_count(xor(p.h, l.h)) <= 6 WHERE p.id NOT IN (SELECT id FROM hits) GROUP BY p.id""")
 def j02_perceptual_fallback(spark, folder):
     base = files(spark, folder)
     # The listed hashes are a stand-in set: the perceptual hashes of some files.
-    listed = base.where(F.col("id") % 40 == 0).select(F.col("source").alias("set_name"), hex_digits(F.col("phash"), 16).alias("value")).where(F.col("value").isNotNull())
+    listed = base.where((F.col("id") % 4 == 0) & F.col("source").isNotNull()).select(F.col("source").alias("set_name"), hex_digits(F.col("phash"), 16).alias("value")).where(F.col("value").isNotNull())
     return matching.match_perceptual(base, listed, _hits(spark, folder))
 
 

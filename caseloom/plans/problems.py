@@ -57,3 +57,15 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p2_found, p6_found, p6_cases, p6_media, p6_exif, p7_found)}
+
+_USABLE = "gps_lat BETWEEN -90 AND 90 AND gps_lon BETWEEN -180 AND 180 AND NOT isnan(gps_lat) AND NOT isnan(gps_lon) AND NOT (gps_lat = 0 AND gps_lon = 0)"
+SQL = {
+    "p2_found": f"""WITH p AS (SELECT DISTINCT id, gps_lat, gps_lon, 6371000 * cos(radians(gps_lat)) * cos(radians(gps_lon)) AS x, 6371000 * cos(radians(gps_lat)) * sin(radians(gps_lon)) AS y, 6371000 * sin(radians(gps_lat)) AS z FROM files WHERE {_USABLE}),
+c AS (SELECT *, floor(x / 200) AS cx, floor(y / 200) AS cy, floor(z / 200) AS cz FROM p), o AS (SELECT a.r AS i, b.r AS j, c.r AS k FROM range(-1, 2) a(r), range(-1, 2) b(r), range(-1, 2) c(r)), n AS (SELECT c.*, cx + i AS nx, cy + j AS ny, cz + k AS nz FROM c, o),
+near AS (SELECT n.id AS l, c.id AS r FROM n JOIN c ON c.cx = n.nx AND c.cy = n.ny AND c.cz = n.nz WHERE n.id < c.id AND (n.x - c.x) ** 2 + (n.y - c.y) ** 2 + (n.z - c.z) ** 2 <= (2 * 6371000 * sin(150 / (2 * 6371000.0))) ** 2),
+v AS (SELECT DISTINCT region_id, i, len(ring) AS m, ring[i].lat AS a, ring[i].lon AS o, ring[i % len(ring) + 1].lat AS b, ring[i % len(ring) + 1].lon AS q FROM map_regions, LATERAL (SELECT unnest(range(1, len(ring) + 1)) AS i) u),
+w AS (SELECT region_id, i, a, b, q - o - 360 * floor((q - o + 180) / 360) AS d, o FROM v),
+e AS (SELECT region_id, a, b, first_value(o) OVER k + coalesce(sum(d) OVER (PARTITION BY region_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o, d FROM w WINDOW k AS (PARTITION BY region_id ORDER BY i)),
+t AS (SELECT p.id, e.region_id, s.r AS turn, count(*) AS n FROM p, e, (SELECT unnest([-360, 0, 360]) AS r) s WHERE (e.o > p.gps_lon + s.r) <> (e.o + e.d > p.gps_lon + s.r) AND p.gps_lat < (e.b - e.a) * (p.gps_lon + s.r - e.o) / e.d + e.a GROUP BY ALL)
+SELECT 'near' AS kind, l AS left_id, r AS right_id FROM near UNION ALL SELECT DISTINCT 'in', id, region_id::BIGINT FROM t WHERE n % 2 = 1""",
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import case_queries, problems
+from . import problems, report_queries
 
-QUERIES = {**case_queries.QUERIES, **problems.QUERIES}
-SQL: dict[str, str] = {**case_queries.SQL}
+QUERIES = {**report_queries.QUERIES, **problems.QUERIES}
+SQL: dict[str, str] = {**report_queries.SQL, **problems.SQL}
