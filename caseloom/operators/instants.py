@@ -126,10 +126,13 @@ def to_instants(values: DataFrame, intervals: DataFrame, value: str = "value", z
     ``zone`` is the IANA zone for readings without one; null or unknown means UTC. A stated offset or zone
     holds. Ambiguous readings are the earlier instant; skipped ones count on with the offset before the
     change. Instants outside 1990 to 2034, impossible dates and values without a time of day give no row, nor do
-    null, blank and placeholder values. Digits finer than milliseconds are cut off.
+    null, blank and placeholder values. Digits finer than milliseconds are cut off. A given
+    column ``epoch_ms`` is replaced, all others are kept.
     """
+    # The given columns travel packed, so that none of their names can clash with those used here.
+    given = [c for c in values.columns if c != "epoch_ms"]
     v = F.regexp_replace(F.col(value), r"^[\s\x00]+|[\s\x00]+$", "")
-    df = values.withColumns({"_ms": bare_instant_ms(v), "_p": parse_parts(v)})
+    df = values.select(F.struct(*given).alias("_row"), v.alias("_v"), F.col(zone).alias("_given_zone")).withColumns({"_ms": bare_instant_ms(F.col("_v")), "_p": parse_parts(F.col("_v"))})
     p = lambda i: F.col("_p")[i]
     number = lambda i: p(i).try_cast("int")
     month = F.coalesce(number(1), F.ceil((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(p(1), 1, 3))) + 2) / F.lit(3)).cast("int"))
@@ -145,7 +148,7 @@ def to_instants(values: DataFrame, intervals: DataFrame, value: str = "value", z
         "_local": date.cast("long") * 86_400 + F.col("_h") * 3600 + F.col("_mi") * 60 + F.col("_s"),
         "_frac": F.rpad(F.substring(p(6), 1, 3), 3, "0").try_cast("int"),
         "_off": _zone_offset_s(stated),
-        "_zone": F.when(p(8) != "", None).otherwise(F.coalesce(F.nullif(p(9), F.lit("")), F.col(zone), F.lit("UTC"))),
+        "_zone": F.when(p(8) != "", None).otherwise(F.coalesce(F.nullif(p(9), F.lit("")), F.col("_given_zone"), F.lit("UTC"))),
     })
     df = df.withColumn("_year", F.year(F.timestamp_seconds("_local")))
     known = small(intervals.select(F.col("zone").alias("_zone"), F.col("year").alias("_year"), "intervals"), 200_000)
@@ -163,4 +166,4 @@ def to_instants(values: DataFrame, intervals: DataFrame, value: str = "value", z
     df = df.withColumn("_found", F.coalesce(F.col("_ms"), (local - F.col("_written")) * 1000 + F.coalesce(F.col("_frac"), F.lit(0))))
     kept = F.when((F.col("_found") >= _LOW_S * 1000) & (F.col("_found") < _HIGH_S * 1000), F.col("_found"))
     # Exploding the one value drops nulls without a filter, which would be pushed down and parse everything twice.
-    return df.select(*values.columns, F.explode(F.array_compact(F.array(kept))).alias("epoch_ms"))
+    return df.select("_row.*", F.explode(F.array_compact(F.array(kept))).alias("epoch_ms"))

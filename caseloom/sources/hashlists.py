@@ -47,7 +47,7 @@ def list_counts(parsed: DataFrame) -> DataFrame:
 def refuse_without_hashes(parsed: DataFrame) -> DataFrame:
     """The parsed lines, or an error when run if not one of them holds a digest."""
     check = parsed.agg(F.count_if(F.col("status") == "read").alias("n")).select(F.assert_true(F.col("n") > 0, F.lit("the list holds no usable hash")).alias("ok"))
-    return parsed.join(F.broadcast(check)).drop("ok")
+    return parsed.join(F.broadcast(check)).where(F.col("ok").isNull()).drop("ok")
 
 
 def category_of(record: Column) -> Column:
