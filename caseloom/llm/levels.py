@@ -36,6 +36,7 @@ _MARK_WEIGHT = 10.0
 _TAG = regex.compile(r"</?[a-zA-Z][^<>]*>")
 #: Tokens that are no words: with digits or code signs, paths, addresses and file names.
 _NO_WORD = regex.compile(r"[\d_=@#{}\[\]|\\/]|\.[A-Za-z]{2,5}[.,;:!?)]*$")
+_BYTE = regex.compile(r"(?i)[0-9a-f]{2}")
 _MARK = regex.compile(r"^[\s>*#•·–—+-]+(?=\s|\p{L})")
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*")
 _STOP = regex.compile(r"(?<=[\p{L}\d)\]\"”»'’]{2})[.!?…]+(?=\s|$)|[.!?…]+$")
@@ -68,7 +69,8 @@ def prose_sentences(text: str | None) -> list[list[str]]:
         rest = " ".join(kept)
         words = _WORD.findall(rest)
         wordy = sum(len(w) > 1 for w in words)
-        if len(words) < 2 or wordy < 0.5 * len(tokens) or not _LATIN.match(words[0]):
+        dump = wordy and len(tokens) >= 8 and 2 * sum(_BYTE.fullmatch(t) is not None for t in tokens) > len(tokens)
+        if len(words) < 2 or wordy < 0.5 * len(tokens) or dump or not _LATIN.match(words[0]):
             if going and tokens:
                 sentences.append(going)
                 going = []
