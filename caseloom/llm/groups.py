@@ -9,7 +9,6 @@ round is a shuffle of what is left, and labels are resolved backwards through th
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -18,48 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hex_digits, hex_to_long
+from ..operators.components import local_forest, union_find
 from ..session import cut, small
 
 #: Edges that one merging partition gets on average.
 EDGES_PER_PARTITION = 1_000_000
-_SLICE = 200_000
-
-
-def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of the edges (a, b) and for each the smallest node of its component."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = at[: len(a)], at[len(a) :]
-    parent = np.arange(len(nodes))
-    while len(u):
-        pu, pv = parent[u], parent[v]
-        open_ = pu != pv
-        u, v, pu, pv = u[open_], v[open_], pu[open_], pv[open_]
-        if not len(u):
-            break
-        np.minimum.at(parent, np.maximum(pu, pv), np.minimum(pu, pv))
-        while True:
-            up = parent[parent]
-            if np.array_equal(up, parent):
-                break
-            parent = up
-    return nodes, nodes[parent]
-
-
-def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spanning forest of a partition as stars (node, root), roots included; holds no more than the forest."""
-    node, root = np.empty(0, "int64"), np.empty(0, "int64")
-    pending: list[pd.DataFrame] = []
-    waiting = 0
-    for batch in batches:
-        pending.append(batch)
-        waiting += len(batch)
-        if waiting > max(_SLICE, len(node)):
-            node, root = union_find(np.concatenate([node, *[p["a"].to_numpy() for p in pending]]), np.concatenate([root, *[p["b"].to_numpy() for p in pending]]))
-            pending, waiting = [], 0
-    if waiting:
-        node, root = union_find(np.concatenate([node, *[p["a"].to_numpy() for p in pending]]), np.concatenate([root, *[p["b"].to_numpy() for p in pending]]))
-    for i in range(0, len(node), _SLICE):
-        yield pd.DataFrame({"node": node[i : i + _SLICE], "root": root[i : i + _SLICE]})
 
 
 def connected_groups(edges: DataFrame, per_partition: int = EDGES_PER_PARTITION) -> DataFrame:
@@ -72,7 +34,7 @@ def connected_groups(edges: DataFrame, per_partition: int = EDGES_PER_PARTITION)
     settled: list[DataFrame] = []
     width = None
     while True:
-        stars = left.mapInPandas(_forest, "node long, root long")
+        stars = left.mapInPandas(local_forest, "node long, root long")
         # A node has at most one root per partition, so its set of roots is bounded by their number.
         roots = cut(stars.groupBy("node").agg(F.collect_set("root").alias("roots")))
         settled.append(roots.where((F.size("roots") == 1) & (F.col("roots")[0] != F.col("node"))).select("node", F.col("roots")[0].alias("group")))
