@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,18 +86,27 @@ def leading_number(text: Column) -> Column:
 
 
 def iso6709(text: Column) -> Column:
-    """(lat, lon) of a location string such as +48.8577+002.295/, decimal degrees only."""
-    pattern = r"^([+-][0-9]{1,2}(?:\.[0-9]+)?)([+-][0-9]{1,3}(?:\.[0-9]+)?)"
-    lat, lon = (F.regexp_extract(text, pattern, k).try_cast("double") for k in (1, 2))
-    return valid_coordinates(lat, lon)
+    """(lat, lon) of a location string: degrees, degrees and minutes, or degrees, minutes and seconds."""
+    pattern = r"^\s*([+-])([0-9]+)(\.[0-9]+)?([+-])([0-9]+)(\.[0-9]+)?"
+
+    def degrees(k: int, n: int) -> Column:
+        sign, whole, part = (F.regexp_extract(text, pattern, k + i) for i in range(3))
+        extra = F.length(whole) - n
+        number = lambda at, size: F.substring(whole, F.lit(at), F.lit(size)).try_cast("double")
+        last = lambda at: F.concat(F.substring(whole, at, 20), part).try_cast("double")
+        v = F.when(extra == 0, last(1)).when(extra == 2, number(1, n) + last(n + 1) / 60).when(extra == 4, number(1, n) + number(n + 1, 2) / 60 + last(n + 3) / 3600)
+        return F.when(sign == "-", -v).otherwise(v)
+
+    return valid_coordinates(degrees(1, 2), degrees(4, 3))
 
 
 def dms_degrees(text: Column, ref: Column) -> Column:
-    """Degrees of three numbers and a reference letter N, S, E or W; null without a valid reference."""
-    n = F.regexp_extract_all(text, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), 1)
+    """Signed degrees of up to three numbers and a compass direction; null without a valid direction."""
+    n = F.regexp_extract_all(text, F.lit(r"(-?[0-9]+(?:\.[0-9]+)?)"), 1)
     part = lambda k: F.coalesce(F.get(n, F.lit(k)).try_cast("double"), F.lit(0.0))
-    sign = F.when(F.upper(F.trim(ref)).isin("N", "E", "NORTH", "EAST"), 1).when(F.upper(F.trim(ref)).isin("S", "W", "SOUTH", "WEST"), -1)
-    return F.when(F.size(n) > 0, F.round(sign * (part(0) + part(1) / 60 + part(2) / 3600), 7))
+    low = F.lower(F.trim(ref))
+    sign = F.when(low.isin("n", "north", "e", "east"), 1).when(low.isin("s", "south", "w", "west"), -1)
+    return F.when(F.size(n) > 0, sign * F.abs(part(0) + part(1) / 60 + part(2) / 3600))
 
 
 def mercator_pixel(lat: Column, lon: Column, zoom: int) -> tuple[Column, Column]:
@@ -106,24 +117,21 @@ def mercator_pixel(lat: Column, lon: Column, zoom: int) -> tuple[Column, Column]
 
 
 def size_text(n: Column) -> Column:
-    """Bytes as text with a binary unit and one decimal."""
-    return (
-        F.when(n.isNull(), "")
-        .when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024**2, F.concat(F.format_string("%.1f", F.bround(n / 1024.0, 1)), F.lit(" KB")))
-        .when(n < 1024**3, F.concat(F.format_string("%.1f", F.bround(n / 1024.0**2, 1)), F.lit(" MB")))
-        .otherwise(F.concat(F.format_string("%.1f", F.bround(n / 1024.0**3, 1)), F.lit(" GB")))
-    )
+    """Megabytes with one decimal above a million bytes, else whole kilobytes; empty for null and zero."""
+    shown = lambda x, digits: F.format_string(f"%.{digits}f", F.bround(x, digits))
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "").when(n > 1e6, F.concat(shown(n / 1048576.0, 1), F.lit(" MB"))).otherwise(F.concat(shown(n / 1024.0, 0), F.lit(" KB")))
 
 
 def duration_text(s: Column) -> Column:
+    """Minutes and seconds; empty for null and zero."""
     whole = F.floor(s).cast("long")
-    return F.when(s.isNull(), "").otherwise(F.concat(F.floor(whole / 60).cast("string"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0")))
+    return F.when(F.coalesce(s, F.lit(0.0)) == 0, "").otherwise(F.concat(F.floor(whole / 60).cast("string"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0")))
 
 
 def identifier(text: Column) -> Column:
-    """Lower-case identifier of letters, digits and single underscores."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, r"[^0-9A-Za-z]+", "_"), r"^_+|_+$", ""))
+    """Lower-case name of a table: signs dropped, white space to underscores, never beginning with a digit."""
+    bare = F.regexp_replace(F.trim(F.regexp_replace(text, r"(?U)[^\w\s]", "")), r"(?U)\s+", "_")
+    return F.lower(F.when(bare.rlike("^[A-Za-z_]"), bare).otherwise(F.concat(F.lit("_"), bare)))
 
 
 def kind_by_extension(ext: Column) -> Column:
@@ -131,25 +139,31 @@ def kind_by_extension(ext: Column) -> Column:
     return F.when(e.isin(*schema.IMAGE_EXTS), "image").when(e.isin(*schema.VIDEO_EXTS), "video").when(e.isin(*schema.ARCHIVE_EXTS), "archive").otherwise("other")
 
 
-#: Leading bytes in hexadecimal that tell a kind, in order of precedence.
-MAGIC = (
-    ("FFD8FF", "image"), ("89504E470D0A1A0A", "image"), ("47494638", "image"), ("424D", "image"), ("49492A00", "image"), ("4D4D002A", "image"),
-    ("504B0304", "archive"), ("1F8B", "archive"), ("425A68", "archive"), ("FD377A585A00", "archive"), ("377ABCAF271C", "archive"), ("52617221", "archive"),
-    ("1A45DFA3", "video"), ("000001BA", "video"), ("000001B3", "video"), ("464C5601", "video"),
+#: Leading bytes in hexadecimal of archives and of pictures.
+ARCHIVE_HEADS = ("4C5A4300", "434D4D4D", "504B0304", "504B0506", "1F8B", "425A68", "FD377A585A00", "377ABCAF271C", "52617221")
+PICTURE_HEADS = ("FFD8FF", "89504E470D0A1A0A", "474946383761", "474946383961", "424D", "49492A00", "4D4D002A", "0000000C6A5020200D0A870A", "FF4FFF51")
+VIDEO_HEADS = ("1A45DFA3", "464C56")
+#: Major brands of ISO media registered for sound.
+SOUND_BRANDS = (
+    "M4A ", "M4B ", "M4P ", "caaa", "caac", "cama", "camc", "casu", "ca4m", "ca4s", "ca4e", "ceac",
+    "cmh1", "cmh2", "cmhm", "cmhs", "cabl", "dts1", "dts2", "dts3", "oa2d", "oabl", "ifaa", "iamf",
 )
-#: Brands of ISO media that are pictures or sound.
-PICTURE_BRANDS = ("heic", "heix", "hevc", "mif1", "msf1", "avif", "avis")
-SOUND_BRANDS = ("M4A ", "M4B ", "M4P ", "F4A ", "F4B ")
 
 
 def kind_by_magic(head: Column) -> Column:
-    """Kind of a file by its first 16 bytes, null if they tell nothing."""
+    """Kind of a file by its first 16 bytes; null for null."""
     digits = F.hex(head)
     brand = F.decode(F.substring(head, 9, 4), "ISO-8859-1")
-    kind = F.when(
-        F.substring(digits, 9, 8) == "66747970", F.when(brand.isin(*PICTURE_BRANDS), "image").when(brand.isin(*SOUND_BRANDS), "other").otherwise("video")
+    begins = lambda heads: reduce(Column.__or__, [digits.startswith(h) for h in heads])
+    container = F.substring(digits, 17, 8)
+    riff = F.when(container == "57454250", "image").when(container.isin("41564920", "41564900"), "video").otherwise("other")
+    iso = F.when(F.substring(brand, 1, 2).isin("he", "mi", "ms") | brand.isin("avif", "avis"), "image").when(brand.isin(*SOUND_BRANDS), "other").otherwise("video")
+    return (
+        F.when(digits.isNull(), None)
+        .when(begins(ARCHIVE_HEADS), "archive")
+        .when(begins(PICTURE_HEADS), "image")
+        .when(digits.startswith("52494646"), riff)
+        .when(F.substring(digits, 9, 8) == "66747970", iso)
+        .when(begins(VIDEO_HEADS), "video")
+        .otherwise("other")
     )
-    kind = kind.when(digits.startswith("52494646") & (F.substring(digits, 17, 8) == "57454250"), "image").when(digits.startswith("52494646") & (F.substring(digits, 17, 8) == "41564920"), "video")
-    for prefix, k in MAGIC:
-        kind = kind.when(digits.startswith(prefix), k)
-    return kind

@@ -11,29 +11,27 @@ from ..functions import scalars as S
 from ..functions.text import slashed
 
 MOST_DEPTH = 8
-#: Storage views of one folder, best first: (pattern, class, rank).
+#: Storage views of one folder, the best first: (storage class, pattern, group of the user's number).
 STORAGE_VIEWS = (
-    (r"^/?(?:data/media/([0-9]+))/", "media", 0),
-    (r"^/?(?:storage/emulated/([0-9]+))/", "media", 1),
-    (r"^/?(?:mnt/user/[0-9]+/emulated/([0-9]+))/", "media", 2),
-    (r"^/?(?:storage/self/primary()|sdcard())/", "media", 3),
-    (r"^/?(?:data/data())/", "app", 0),
-    (r"^/?(?:data/user/([0-9]+))/", "app", 1),
-    (r"^/?(?:data_mirror/data_ce/[^/]+/([0-9]+))/", "app", 2),
+    ("ce", r"(^|/)data/data/", 0),
+    ("de", r"(^|/)data/user_de/([0-9]+)/", 2),
+    ("ce", r"(^|/)data/user/([0-9]+)/", 2),
+    ("ce", r"(^|/)data_mirror/data_ce/[^/]+/([0-9]+)/", 2),
+    ("de", r"(^|/)data_mirror/data_de/[^/]+/([0-9]+)/", 2),
+    ("media", r"(^|/)data/media/([0-9]+)/", 2),
+    ("media", r"(^|/)storage/emulated/([0-9]+)/", 2),
+    ("media", r"(^|/)mnt/user/([0-9]+)/emulated/[0-9]+/", 2),
+    ("media", r"(^|/)sdcard/", 0),
 )
 
 
 def canonical_views(names: DataFrame, name: str = "name") -> DataFrame:
-    """Add ``view_class``, ``view_user``, ``view_rank`` and ``rest``: one key for all views of a file."""
+    """Add ``view_key`` and ``view_rank``: one key for all spellings of a file, null outside every view."""
     c = slashed(F.col(name))
-    match = lambda i, other: reduce(lambda e, v: e.when(c.rlike(v[0]), i(v)), STORAGE_VIEWS, F).otherwise(other)
-    user = match(lambda v: F.coalesce(F.nullif(F.regexp_extract(c, v[0], 1), F.lit("")), F.lit("0")), F.lit(None))
-    return names.withColumns({
-        "view_class": match(lambda v: F.lit(v[1]), F.lit(None).cast("string")),
-        "view_user": user,
-        "view_rank": match(lambda v: F.lit(v[2]), F.lit(None).cast("int")),
-        "rest": match(lambda v: F.regexp_replace(c, v[0], ""), c),
-    })
+    split = lambda v: F.array(F.concat(*(F.regexp_extract(c, f"^(.*?){v[1]}(.*)$", k) for k in (1, 2))), F.lit(v[0]), (F.regexp_extract(c, v[1], v[2]) if v[2] else F.lit("0")), F.regexp_extract(c, f"^(.*?){v[1]}(.*)$", 3 if v[2] == 0 else 4))
+    parts = reduce(lambda e, v: e.when(c.rlike(v[1]), F.concat_ws("\x00", split(v))), STORAGE_VIEWS, F)
+    rank = reduce(lambda e, iv: e.when(c.rlike(iv[1][1]), F.lit(iv[0])), enumerate(STORAGE_VIEWS), F)
+    return names.withColumns({"view_key": parts, "view_rank": rank})
 
 
 def collapse_views(members: DataFrame) -> DataFrame:
@@ -43,14 +41,14 @@ def collapse_views(members: DataFrame) -> DataFrame:
     names of one size with at most one known checksum; otherwise all of them are kept.
     """
     rows = canonical_views(members.select("source", "name", "size", "crc").distinct())
-    seen = rows.where(F.col("view_class").isNotNull())
-    key = ["source", "view_class", "view_user", "rest"]
+    seen = rows.where(F.col("view_key").isNotNull())
+    key = ["source", "view_key"]
     # A file has a handful of views, which bounds the list.
-    groups = seen.groupBy(*key).agg(F.countDistinct("name").alias("n"), F.countDistinct("size").alias("sizes"), F.countDistinct("crc").alias("crcs"), F.array_sort(F.collect_set(F.struct("view_rank", "name"))).alias("views"))
+    groups = seen.groupBy(*key).agg(F.countDistinct("name").alias("n"), F.countDistinct(F.coalesce("size", F.lit(-1))).alias("sizes"), F.countDistinct("crc").alias("crcs"), F.array_sort(F.collect_set(F.struct("view_rank", "name"))).alias("views"))
     one = (F.col("n") >= 2) & (F.col("sizes") == 1) & (F.col("crcs") <= 1)
     merged = groups.where(one).select("source", F.col("views")[0]["name"].alias("name"), F.transform(F.slice("views", 2, 1000), lambda v: v["name"]).alias("alt_paths"))
     apart = groups.where(~one).select("source", F.explode("views").alias("v")).select("source", F.col("v.name").alias("name"), F.array().cast("array<string>").alias("alt_paths"))
-    plain = rows.where(F.col("view_class").isNull()).select("source", "name", F.array().cast("array<string>").alias("alt_paths"))
+    plain = rows.where(F.col("view_key").isNull()).select("source", "name", F.array().cast("array<string>").alias("alt_paths"))
     return merged.unionByName(apart).unionByName(plain)
 
 

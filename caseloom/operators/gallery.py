@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 from functools import reduce
@@ -13,10 +14,10 @@ from .. import schema
 from ..functions import scalars as S
 from ..functions.text import slashed
 
-#: Columns the free-text search looks into.
-SEARCHED = ("path", "rel_path", "source", "ext", "md5", "sha1", "sha256", "camera", "created_dt", "orig_name", "mime", "origin", "alt_paths", "phash", "kind", "dhash")
-#: Sorts known by a short name; any other column sorts by itself.
-NAMED_SORTS = {"date": "created_dt", "cluster": "cluster_id"}
+#: What the free-text search looks into, besides the name and the path shown.
+SEARCHED = ("alt_paths", "cache_info", "camera", "notes", "mime", "source", "created_dt", "reviewed_by", "hashset_hit", "error", "md5", "sha1", "sha256", "phash")
+#: Sorts by a short name: column and whether it runs downwards whatever is asked.
+NAMED_SORTS = {"date": ("created_dt", False), "skin": ("skin_ratio", True), "faces": ("faces", True), "cluster": ("cluster_id", False)}
 MOST_ROWS, DEFAULT_ROWS = 5000, 500
 
 
@@ -47,32 +48,53 @@ class FileQuery:
     offset: int = 0
 
 
-def column_filter(name: str, op: str, value: str, known: list[str]) -> Column | None:
-    """One column filter; None for a column or operation that is not known."""
+def shown_name() -> Column:
+    return S.display_name(F.col("orig_name"), F.col("rel_path"), F.col("media_id"))
+
+
+def shown_path(known: list[str]) -> Column:
+    """The path a file had on its device, else its own; an imported record never falls back to rel_path."""
+    rel = F.when(F.col("media_id").isNull(), F.col("rel_path"))
+    parts = [F.nullif(F.col(c), F.lit("")) for c in ("orig_path", "path") if c in known]
+    return F.coalesce(*parts, rel)
+
+
+def list_column(name: str, known: list[str]) -> Column | None:
     if name == "name":
-        c = S.display_name(F.col("orig_name"), F.col("rel_path"), F.col("media_id"))
-    elif name in known:
-        c = F.col(name)
-    else:
+        return shown_name()
+    if name == "file_path":
+        return shown_path(known)
+    return F.col(name) if name in schema.LIST_COLUMNS and name in known else None
+
+
+def column_filter(name: str, op: str, value: str, known: list[str]) -> Column | None:
+    """One column filter; None for a column or operation that is not known or a limit that is no number."""
+    c = list_column(name, known)
+    if c is None:
         return None
-    number = lambda: S.leading_number(c.cast("string"))
-    limit = lambda: float(re.match(r"\s*[-+]?(\d+\.?\d*|\.\d+)?", value).group() or 0)
+    if op in ("min", "max", "gt", "lt"):
+        try:
+            limit = float(value)
+        except ValueError:
+            return None
+        n = S.leading_number(c.cast("string"))
+        return {"min": n >= limit, "max": n <= limit, "gt": n > limit, "lt": n < limit}[op]
+    text = c.cast("string")
     return {
         "contains": lambda: S.contains_ci(c, value),
-        "eq": lambda: c.cast("string") == value,
-        "neq": lambda: c.isNull() | (c.cast("string") != value),
-        "min": lambda: number() >= limit(),
-        "max": lambda: number() <= limit(),
-        "gt": lambda: number() > limit(),
-        "lt": lambda: number() < limit(),
-        "set": lambda: c.isNotNull() & (c.cast("string") != ""),
-        "notset": lambda: c.isNull() | (c.cast("string") == ""),
+        "eq": lambda: text == value,
+        "neq": lambda: c.isNull() | (text != value),
+        "set": lambda: c.isNotNull() & (text != ""),
+        "notset": lambda: c.isNull() | (text == ""),
     }.get(op, lambda: None)()
 
 
 def search_words(text: str, known: list[str]) -> Column:
     """Every word must be found in one of the searched columns; wildcards in a word stay wildcards."""
-    hit = lambda w: reduce(Column.__or__, [F.coalesce(F.col(c).ilike(f"%{w}%"), F.lit(False)) for c in SEARCHED if c in known])
+    rel = F.when(F.col("media_id").isNull(), F.col("rel_path"))
+    device = F.coalesce(F.nullif(F.col("orig_path"), F.lit("")), rel) if "orig_path" in known else rel
+    places = [shown_name(), device, *[F.col(c) for c in SEARCHED if c in known]]
+    hit = lambda w: reduce(Column.__or__, [F.coalesce(c.ilike(f"%{w}%"), F.lit(False)) for c in places])
     return reduce(Column.__and__, [hit(w) for w in text.split()], F.lit(True))
 
 
@@ -81,12 +103,12 @@ def any_date(day_from: str | None, day_to: str | None, undated: bool, known: lis
     lo, hi = day_from or "0001-01-01", day_to or "9999-12-30"
     start, end = (F.unix_timestamp(F.to_timestamp(F.lit(d))) for d in (lo, hi))
     stamps = [F.coalesce((F.col(c) != 0) & (F.col(c) >= start) & (F.col(c) < end + 86_400), F.lit(False)) for c in ("ctime", "mtime", "atime")]
-    texts = [F.coalesce((F.col("created_dt") != "") & F.substring(F.regexp_replace("created_dt", r"^(\d{4}):(\d{2}):(\d{2})", "$1-$2-$3"), 1, 10).between(lo, hi), F.lit(False))]
+    texts = [F.coalesce((F.col("created_dt") != "") & F.substring("created_dt", 1, 10).between(lo, hi), F.lit(False))]
     none = [F.coalesce(F.col(c), F.lit(0.0)) == 0 for c in ("ctime", "mtime", "atime")] + [F.coalesce("created_dt", F.lit("")) == ""]
     if "recorded_times" in known:
         readings = F.map_values(F.from_json("recorded_times", "map<string,string>"))
-        texts.append(F.coalesce(F.exists(readings, lambda v: F.substring(v, 1, 10).between(lo, hi)), F.lit(False)))
-        none.append(F.coalesce(F.size(readings), F.lit(0)) <= 0)
+        texts.append(F.coalesce(F.exists(readings, lambda v: (v != "") & F.substring(v, 1, 10).between(lo, hi)), F.lit(False)))
+        none.append(~F.coalesce(F.exists(readings, lambda v: F.coalesce(v, F.lit("")) != ""), F.lit(False)))
     dated = reduce(Column.__or__, stamps + texts)
     return dated | reduce(Column.__and__, none) if undated else dated
 
@@ -146,13 +168,18 @@ def matching_files(files: DataFrame, q: FileQuery) -> DataFrame:
 
 
 def sort_columns(q: FileQuery, known: list[str]) -> list[Column]:
-    """Sort key with ties broken by id in the same direction; nulls first when ascending, last otherwise."""
-    name = q.sort or "rel_path"
-    key = {
-        "name": S.display_name(F.col("orig_name"), F.col("rel_path"), F.col("media_id")),
-        "file_path": F.coalesce(F.nullif(F.col("path"), F.lit("")), F.col("rel_path")),
-    }.get(name, F.col(NAMED_SORTS.get(name, name) if NAMED_SORTS.get(name, name) in known else "rel_path"))
-    return [key.desc(), F.col("id").desc()] if q.descending else [key.asc(), F.col("id").asc()]
+    """Sort key with ties broken by id; nulls first when ascending, last otherwise.
+
+    A column of the list view sorts by itself in the asked direction. Otherwise the short names apply, and
+    anything else sorts by rel_path, both upwards unless fixed.
+    """
+    key = list_column(q.sort or "", known)
+    if key is not None:
+        return [key.desc(), F.col("id").desc()] if q.descending else [key.asc(), F.col("id").asc()]
+    name, down = NAMED_SORTS.get(q.sort or "", ("rel_path", False))
+    if name not in known:
+        name, down = "rel_path", False
+    return [F.col(name).desc() if down else F.col(name).asc(), F.col("id").asc()]
 
 
 def page(files: DataFrame, q: FileQuery) -> DataFrame:
@@ -182,42 +209,52 @@ def group_heads(files: DataFrame) -> DataFrame:
 
 # --- the column-filter language of the list view -------------------------------------------------------
 
-_UNITS = {"b": 1, "kb": 1024, "mb": 1024**2, "gb": 1024**3}
-#: Columns whose bare number means "at least".
+_UNITS = {"b": 1, "k": 1024, "kb": 1024, "m": 1024**2, "mb": 1024**2, "g": 1024**3, "gb": 1024**3}
+#: Numeric columns; what a bare number means to some of them.
+_NUMERIC = ("size", "duration", "width", "height", "faces", "skin_ratio", "gps_lat", "gps_lon", "category", "id")
 _AT_LEAST = ("size", "duration", "skin_ratio")
+_SUBSTRING = ("gps_lat", "gps_lon")
 
 
 def _number(column: str, text: str) -> float | None:
+    """What a typed number means: bytes for a size (bare ones are kilobytes), seconds, or a share of one."""
     t = text.strip().lower()
-    if column == "size" and (m := re.fullmatch(r"([0-9.]+)\s*(b|kb|mb|gb)?", t)):
-        return float(m[1]) * _UNITS[m[2] or "kb"]
-    if column == "duration" and (m := re.fullmatch(r"(\d+):(\d{1,2})", t)):
-        return int(m[1]) * 60 + int(m[2])
-    if column == "skin_ratio" and (m := re.fullmatch(r"([0-9.]+)\s*%?", t)):
-        return float(m[1]) * 0.01
-    return float(t) if re.fullmatch(r"-?[0-9]+(\.[0-9]+)?", t) else None
+    if column == "size":
+        m = re.fullmatch(r"(-?\d+(?:\.\d+)?)\s*(b|kb?|mb?|gb?)?", t)
+        return float(math.floor(float(m[1]) * _UNITS[m[2] or "kb"] + 0.5)) if m else None
+    if column == "duration" and (m := re.fullmatch(r"(\d+):([0-5]?\d(?:\.\d+)?)", t)):
+        return int(m[1]) * 60 + float(m[2])
+    m = re.match(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:e[-+]?\d+)?", t)
+    return float(m[0]) * (0.01 if column == "skin_ratio" else 1) if m else None
+
+
+def _typed(n: float) -> str:
+    return str(int(n)) if n == int(n) else repr(n)
 
 
-def parse_column_filter(column: str, text: str) -> list[tuple[str, str, str]]:
-    """Clauses (column, operation, value) of what was typed above a column."""
+def parse_column_filter(column: str, text: str, choice: bool = False) -> list[tuple[str, str, str]]:
+    """Clauses (column, operation, value) of what was typed above a column; ``choice`` for a fixed list."""
     t = text.strip()
     if not t:
         return []
+    if choice:
+        return [(column, "eq", t)]
     if t.lower() in ("set", "any", "*"):
         return [(column, "set", "")]
     if t.lower() in ("none", "empty", "null"):
         return [(column, "notset", "")]
-    if m := re.fullmatch(r"(.+?)\s*(?:\.\.|\bto\b|-)\s*(.+)", t):
-        lo, hi = _number(column, m[1]), _number(column, m[2])
-        if lo is not None and hi is not None:
-            return [(column, "min", repr(min(lo, hi))), (column, "max", repr(max(lo, hi)))]
-    if m := re.fullmatch(r"(>=|<=|>|<|=)\s*(.+)", t):
-        n = _number(column, m[2])
-        return [(column, {">=": "min", "<=": "max", ">": "gt", "<": "lt", "=": "eq"}[m[1]], m[2] if n is None else repr(n))]
+    if column not in _NUMERIC:
+        return [(column, "contains", t)]
+    if m := re.fullmatch(r"(.+?)\s*(?:\.\.|—|–|\bto\b|-)\s*(.+)", t, re.IGNORECASE):
+        ends = _number(column, m[1]), _number(column, m[2])
+        if None not in ends:
+            return [(column, "min", _typed(min(ends))), (column, "max", _typed(max(ends)))]
+    if (m := re.fullmatch(r"(>=|<=|>|<|=)\s*(.+)", t)) and (n := _number(column, m[2])) is not None:
+        return [(column, {">=": "min", "<=": "max", ">": "gt", "<": "lt", "=": "eq"}[m[1]], _typed(n))]
+    if column in _SUBSTRING:
+        return [(column, "contains", t)]
     n = _number(column, t)
-    if n is not None and column in _AT_LEAST:
-        return [(column, "min", repr(n))]
-    return [(column, "contains", t)]
+    return [] if n is None else [(column, "min" if column in _AT_LEAST else "eq", _typed(n))]
 
 
 # --- containers and counts ----------------------------------------------------------------------------

@@ -53,7 +53,7 @@ def match_perceptual(files: DataFrame, entries: DataFrame, exact: DataFrame, bit
 
 def source_bit() -> Column:
     return (
-        F.when(F.col("kind") == "known-good", schema.MASK_GOOD).when(F.col("vic"), schema.MASK_VIC).when(F.col("store") == "stash", schema.MASK_STASH).otherwise(schema.MASK_OTHER)
+        F.when(F.col("store") == "stash", schema.MASK_STASH).when(F.col("vic"), schema.MASK_VIC).when(F.col("kind") == "known-good", schema.MASK_GOOD).otherwise(schema.MASK_OTHER)
     )
 
 

@@ -15,7 +15,14 @@ from .. import schema
 from ..functions import scalars as S
 
 #: Labels of categories in the default scheme.
-CATEGORY_LABELS = {0: "Non-pertinent", 1: "Category 1", 2: "Category 2", 3: "Category 3", 4: "Category 4", 5: "Uncategorized"}
+CATEGORY_LABELS = {
+    0: "Non-pertinent",
+    1: "CAM (Child Abuse Material)",
+    2: "Child Exploitative / Age Difficult",
+    3: "CGI / Animation (Child Exploitative)",
+    4: "Comparison Images (Non-pertinent)",
+    5: "Uncategorized",
+}
 
 
 def category_label(code: Column) -> Column:

@@ -32,7 +32,7 @@ hits0 AS (SELECT fd.id, fd.algo, fd.value, e.set_name, e.store, e.kind, e.vic, e
   CASE fd.algo WHEN 'sha256' THEN 0 WHEN 'sha1' THEN 1 ELSE 2 END, CASE e.store WHEN 'case' THEN 0 WHEN 'stash' THEN 1 ELSE 2 END, coalesce(e.category, 9999), fd.algo, e.store, e.kind, e.vic, fd.value) AS rn
   FROM fd JOIN entries e ON e.algo = fd.algo AND e.value = fd.value WHERE fd.value NOT IN ('d41d8cd98f00b204e9800998ecf8427e','da39a3ee5e6b4b0d3255bfef95601890afd80709','e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855')),
 hits AS (SELECT * EXCLUDE (rn) FROM hits0 WHERE rn = 1),
-bits AS (SELECT *, CASE WHEN kind = 'known-good' THEN 8 WHEN vic THEN 1 WHEN store = 'stash' THEN 2 ELSE 4 END AS bit FROM hits),
+bits AS (SELECT *, CASE WHEN store = 'stash' THEN 2 WHEN vic THEN 1 WHEN kind = 'known-good' THEN 8 ELSE 4 END AS bit FROM hits),
 ph AS (SELECT id, ('0x' || lower(trim(phash)))::UBIGINT AS h, CASE WHEN regexp_full_match(lower(trim(dhash)), '[0-9a-f]{16}') THEN ('0x' || lower(trim(dhash)))::UBIGINT END AS d
   FROM f WHERE regexp_full_match(lower(trim(phash)), '[0-9a-f]{16}')),
 pm AS (SELECT * FROM ph WHERE bit_count(h) BETWEEN 12 AND 52)
@@ -108,9 +108,10 @@ gallery_query(
     "f21_any_date", FileQuery(day_from="2016-01-01", day_to="2017-06-30"),
     """(ctime <> 0 AND ctime >= epoch(TIMESTAMP '2016-01-01') AND ctime < epoch(TIMESTAMP '2017-07-01')) OR (mtime <> 0 AND mtime >= epoch(TIMESTAMP '2016-01-01') AND mtime < epoch(TIMESTAMP '2017-07-01'))
     OR (atime <> 0 AND atime >= epoch(TIMESTAMP '2016-01-01') AND atime < epoch(TIMESTAMP '2017-07-01'))
-    OR (created_dt <> '' AND substr(regexp_replace(created_dt, '^(\\d{4}):(\\d{2}):(\\d{2})', '\\1-\\2-\\3'), 1, 10) BETWEEN '2016-01-01' AND '2017-06-30')""",
+    OR (created_dt <> '' AND substr(created_dt, 1, 10) BETWEEN '2016-01-01' AND '2017-06-30')""",
 )
-_word = lambda w: "(" + " OR ".join(f"coalesce({c} ILIKE '%{w}%', false)" for c in gallery.SEARCHED) + ")"
+_PLACES = ("coalesce(nullif(orig_name, ''), CASE WHEN media_id IS NULL THEN rel_path END)", "CASE WHEN media_id IS NULL THEN rel_path END", "alt_paths", "camera", "mime", "source", "created_dt", "md5", "sha1", "sha256", "phash")
+_word = lambda w: "(" + " OR ".join(f"coalesce({c} ILIKE '%{w}%', false)" for c in _PLACES) + ")"
 gallery_query("f23_search", FileQuery(words="camera dcim"), f"{_word('camera')} AND {_word('dcim')}")
 gallery_query("f23_search_wildcard", FileQuery(words="IMG%heic a_b"), f"{_word('IMG%heic')} AND {_word('a_b')}")
 gallery_query("f24_contains", FileQuery(columns=[("camera", "contains", "nor")]), "camera ILIKE '%nor%'")
@@ -147,7 +148,12 @@ def t01_default_sort_page(spark, folder):
 
 @query("SELECT id, created_dt FROM f WHERE kind <> 'archive' ORDER BY created_dt DESC NULLS LAST, id DESC LIMIT 300 OFFSET 100")
 def t02_named_sort_offset(spark, folder):
-    return gallery.page(files(spark, folder), FileQuery(sort="date", descending=True, limit=300, offset=100)).select("id", "created_dt")
+    return gallery.page(files(spark, folder), FileQuery(sort="created_dt", descending=True, limit=300, offset=100)).select("id", "created_dt")
+
+
+@query("SELECT id, created_dt FROM f WHERE kind <> 'archive' ORDER BY created_dt ASC NULLS FIRST, id ASC LIMIT 250 OFFSET 1400")
+def t02_short_name_sort(spark, folder):
+    return gallery.page(files(spark, folder), FileQuery(sort="date", descending=True, limit=250, offset=1400)).select("id", "created_dt")
 
 
 @query("SELECT id, coalesce(nullif(orig_name, ''), CASE WHEN media_id IS NULL THEN rel_path END) AS name FROM f WHERE kind <> 'archive' ORDER BY name ASC NULLS FIRST, id ASC LIMIT 400")

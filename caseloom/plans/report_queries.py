@@ -10,11 +10,11 @@ from ..sources import hashlists, readers
 from ..session import table
 from .case_queries import QUERIES, SQL, _WITH, files, query, records
 
-_LABEL = "CASE coalesce(category, 5) WHEN 0 THEN 'Non-pertinent' WHEN 5 THEN 'Uncategorized' ELSE 'Category ' || coalesce(category, 5) END"
+_LABEL = "CASE coalesce(category, 5) " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in reports.CATEGORY_LABELS.items()) + " ELSE 'Category ' || coalesce(category, 5) END"
 
 
-@query(f"""SELECT id, kind, source, rel_path, CASE WHEN size IS NULL THEN '' WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f', size / 1024.0::DOUBLE) || ' KB' WHEN size < 1073741824 THEN printf('%.1f', size / 1048576.0::DOUBLE) || ' MB' ELSE printf('%.1f', size / 1073741824.0::DOUBLE) || ' GB' END AS size_text,
-CASE WHEN duration IS NULL THEN '' ELSE (floor(duration)::BIGINT // 60) || ':' || lpad((floor(duration)::BIGINT % 60)::VARCHAR, 2, '0') END AS duration_text,
+@query(f"""SELECT id, kind, source, rel_path, CASE WHEN coalesce(size, 0) = 0 THEN '' WHEN size > 1e6 THEN printf('%.1f', size / 1048576.0::DOUBLE) || ' MB' ELSE printf('%.0f', size / 1024.0::DOUBLE) || ' KB' END AS size_text,
+CASE WHEN coalesce(duration, 0) = 0 THEN '' ELSE (floor(duration)::BIGINT // 60) || ':' || lpad((floor(duration)::BIGINT % 60)::VARCHAR, 2, '0') END AS duration_text,
 CASE WHEN mtime IS NULL OR mtime = 0 THEN '' ELSE strftime(make_timestamp((floor(mtime) * 1000000)::BIGINT), '%Y-%m-%d %H:%M:%S') END AS modified, {_LABEL} AS category_label, md5, coalesce(origin, '') AS origin FROM f WHERE kind IN ('image', 'video') AND size > 1000""")
 def k01_report_rows(spark, folder):
     return reports.report_rows(files(spark, folder), "size > 1000")
@@ -139,13 +139,13 @@ def w09_every_kth(spark, folder):
 
 def _views(spark, folder):
     """Member names as seen through two storage views of some sources."""
-    base = files(spark, folder).select("source", "rel_path", "size", "id")
+    base = files(spark, folder).where(~F.col("rel_path").rlike("data|storage|sdcard|mnt")).select("source", "rel_path", "size", "id")
     one = base.where(F.col("id") % 2 == 0).select("source", F.concat(F.lit("data/media/0/"), "rel_path").alias("name"), "size", F.lit(None).cast("long").alias("crc"))
     two = base.where(F.col("id") % 3 == 0).select("source", F.concat(F.lit("storage/emulated/0/"), "rel_path").alias("name"), (F.col("size") + F.when(F.col("id") % 5 == 0, 1).otherwise(0)).alias("size"), F.lit(None).cast("long").alias("crc"))
     return one.unionByName(two)
 
 
-@query(""", v AS (SELECT DISTINCT source, 'data/media/0/' || rel_path AS name, rel_path AS rest, 0 AS rank, size FROM f WHERE id % 2 = 0 UNION SELECT DISTINCT source, 'storage/emulated/0/' || rel_path, rel_path, 1, size + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END FROM f WHERE id % 3 = 0),
+@query(""", v AS (SELECT DISTINCT source, 'data/media/0/' || rel_path AS name, rel_path AS rest, 5 AS rank, size FROM f WHERE id % 2 = 0 AND NOT regexp_matches(rel_path, 'data|storage|sdcard|mnt') UNION SELECT DISTINCT source, 'storage/emulated/0/' || rel_path, rel_path, 6, size + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END FROM f WHERE id % 3 = 0 AND NOT regexp_matches(rel_path, 'data|storage|sdcard|mnt')),
 g AS (SELECT source, rest, count(DISTINCT name) AS n, count(DISTINCT size) AS z, list_sort(list(DISTINCT {'rank': rank, 'name': name})) AS l FROM v GROUP BY 1, 2)
 SELECT source, l[1].name AS name, (list_transform(l[2:], lambda x: x.name))::VARCHAR[] AS alt_paths FROM g WHERE n >= 2 AND z = 1 UNION ALL SELECT source, u.name, []::VARCHAR[] FROM (SELECT source, unnest(l) AS u FROM g WHERE NOT (n >= 2 AND z = 1))""")
 def j09_storage_views(spark, folder):
@@ -173,7 +173,7 @@ def s02_kind_by_extension(spark, folder):
 _MAGIC_ROWS = [(1, "FFD8FFE000104A46"), (2, "89504E470D0A1A0A0000000D"), (3, "0000001866747970686569630000"), (4, "00000020667479704D344120"), (5, "000000206674797069736F6D"), (6, "504B030414000000"), (7, "52494646AAAAAAAA57454250"), (8, "52494646AAAAAAAA41564920"), (9, "00051607"), (10, "")]
 
 
-@query("SELECT * FROM (VALUES (1, 'image'), (2, 'image'), (3, 'image'), (4, 'other'), (5, 'video'), (6, 'archive'), (7, 'image'), (8, 'video'), (9, NULL), (10, NULL)) t(id, kind)")
+@query("SELECT * FROM (VALUES (1, 'image'), (2, 'image'), (3, 'image'), (4, 'other'), (5, 'video'), (6, 'archive'), (7, 'image'), (8, 'video'), (9, 'other'), (10, 'other')) t(id, kind)")
 def s03_kind_by_magic(spark, folder):
     rows = spark.createDataFrame(_MAGIC_ROWS, "id int, hx string")
     return rows.select("id", S.kind_by_magic(F.unhex("hx")).alias("kind"))
@@ -240,18 +240,18 @@ def c15_category_label(spark, folder):
     return files(spark, folder).select("id", reports.category_label(F.col("category")).alias("label"))
 
 
-@query("SELECT id, lower(regexp_replace(regexp_replace(rel_path, '[^0-9A-Za-z]+', '_', 'g'), '^_+|_+$', '', 'g')) AS name FROM f")
+@query("SELECT id, lower(CASE WHEN regexp_matches(n, '^[A-Za-z_]') THEN n ELSE '_' || n END) AS name FROM (SELECT id, regexp_replace(trim(regexp_replace(rel_path, '[^\\p{L}\\p{M}\\p{N}_\\s]', '', 'g')), '\\s+', '_', 'g') AS n FROM f)")
 def c21_identifier(spark, folder):
     return files(spark, folder).select("id", S.identifier(F.col("rel_path")).alias("name"))
 
 
-@query("SELECT * FROM (VALUES (1, 48.8577::DOUBLE, 2.295::DOUBLE), (2, -33.8688, 151.2093), (3, NULL, NULL), (4, NULL, NULL)) t(id, lat, lon)")
+@query("SELECT * FROM (VALUES (1, 48.8577::DOUBLE, 2.295::DOUBLE), (2, -33.8688, 151.2093), (3, NULL, NULL), (4, NULL, NULL), (5, 42.6116667, -74.9313333)) t(id, lat, lon)")
 def c23_iso6709(spark, folder):
-    rows = spark.createDataFrame([(1, "+48.8577+002.295/"), (2, "-33.8688+151.2093+012.5/"), (3, "+00.0000+000.0000/"), (4, "nowhere")], "id int, v string")
+    rows = spark.createDataFrame([(1, "+48.8577+002.295/"), (2, "-33.8688+151.2093+012.5/"), (3, "+00.0000+000.0000/"), (4, "nowhere"), (5, "+4236.7-07455.88+120/")], "id int, v string")
     return rows.select("id", S.iso6709(F.col("v")).alias("c")).select("id", "c.lat", "c.lon")
 
 
-@query("SELECT * FROM (VALUES (1, 12.5::DOUBLE), (2, -7.5041667), (3, NULL), (4, NULL)) t(id, degrees)")
+@query("SELECT * FROM (VALUES (1, 12.5::DOUBLE), (2, -7.504166666666666::DOUBLE), (3, NULL), (4, NULL)) t(id, degrees)")
 def s29_dms_degrees(spark, folder):
     rows = spark.createDataFrame([(1, "12 30 0", "N"), (2, "7, 30, 15", "W"), (3, "7 30 15", "?"), (4, "", "N")], "id int, v string, ref string")
     return rows.select("id", S.dms_degrees(F.col("v"), F.col("ref")).alias("degrees"))
