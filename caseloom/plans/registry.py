@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import problems, report_queries
+from . import detail_queries, problems, report_queries
 
-QUERIES = {**report_queries.QUERIES, **problems.QUERIES}
+QUERIES = {**report_queries.QUERIES, **detail_queries.QUERIES, **problems.QUERIES}
 SQL: dict[str, str] = {**report_queries.SQL, **problems.SQL}
