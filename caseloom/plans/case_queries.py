@@ -20,8 +20,8 @@ SQL: dict[str, str] = {}
 #: Files once each; stand-ins for relations the test tables do not have are derived alike in both engines.
 _WITH = """WITH f AS (SELECT DISTINCT * FROM files),
 r AS (SELECT DISTINCT * FROM vic_records),
-e0 AS (SELECT source AS set_name, CASE WHEN id % 3 = 0 THEN 'global' WHEN id % 3 = 1 THEN 'case' ELSE 'stash' END AS store,
-  CASE WHEN id % 5 = 0 THEN 'known-good' ELSE 'known' END AS kind, id % 2 = 0 AS vic, CASE WHEN id % 4 < 3 THEN (id % 4)::INTEGER END AS category, lower(trim(md5)) AS m, lower(trim(sha1)) AS s, lower(trim(sha256)) AS t FROM f WHERE id % 7 = 0 AND source IS NOT NULL),
+e0 AS (SELECT source AS set_name, CASE origin WHEN 'walk' THEN 'case' WHEN 'deleted' THEN 'stash' ELSE 'global' END AS store,
+  CASE WHEN category = 0 THEN 'known-good' ELSE 'known' END AS kind, kind = 'image' AS vic, category, lower(trim(md5)) AS m, lower(trim(sha1)) AS s, lower(trim(sha256)) AS t FROM f WHERE category IS NOT NULL AND category <> 5 AND source IS NOT NULL),
 entries AS (SELECT set_name, store, kind, vic, category, 'md5' AS algo, m AS value FROM e0 WHERE regexp_full_match(m, '[0-9a-f]{32}') AND m <> 'd41d8cd98f00b204e9800998ecf8427e'
   UNION ALL SELECT set_name, store, kind, vic, category, 'sha1', s FROM e0 WHERE regexp_full_match(s, '[0-9a-f]{40}') AND s <> 'da39a3ee5e6b4b0d3255bfef95601890afd80709'
   UNION ALL SELECT set_name, store, kind, vic, category, 'sha256', t FROM e0 WHERE regexp_full_match(t, '[0-9a-f]{64}') AND t <> 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855'),
@@ -49,12 +49,11 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, folder: str) -> DataFrame:
-    """Hash-set entries, a stand-in for lists the tables do not have: the digests of some files, a set per source."""
-    i = F.col("id")
+    """Hash-set entries, a stand-in for lists the tables do not have: the digests of categorized files, a set per source."""
     digests = F.explode(F.array(*[F.struct(F.lit(a).alias("algo"), hex_digits(F.col(a), n).alias("value")) for a, n in (("md5", 32), ("sha1", 40), ("sha256", 64))]))
-    rows = files(spark, folder).where((i % 7 == 0) & F.col("source").isNotNull()).select(
-        F.col("source").alias("set_name"), F.when(i % 3 == 0, "global").when(i % 3 == 1, "case").otherwise("stash").alias("store"),
-        F.when(i % 5 == 0, "known-good").otherwise("known").alias("kind"), (i % 2 == 0).alias("vic"), F.when(i % 4 < 3, (i % 4).cast("int")).alias("category"), digests.alias("x"),
+    rows = files(spark, folder).where(F.col("category").isNotNull() & (F.col("category") != schema.UNCATEGORIZED) & F.col("source").isNotNull()).select(
+        F.col("source").alias("set_name"), F.when(F.col("origin") == "walk", "case").when(F.col("origin") == "deleted", "stash").otherwise("global").alias("store"),
+        F.when(F.col("category") == 0, "known-good").otherwise("known").alias("kind"), (F.col("kind") == "image").alias("vic"), "category", digests.alias("x"),
     )
     rows = rows.select("set_name", "store", "kind", "vic", "category", "x.algo", "x.value")
     return rows.where(F.col("value").isNotNull() & ~F.col("value").isin(*schema.EMPTY_HASHES))
@@ -266,12 +265,12 @@ def j01_known_hashes(spark, folder):
 
 
 @query("""SELECT p.id, arg_min(l.set_name, (bit_count(xor(p.h, l.h)), l.set_name, l.value)) AS set_name, arg_min(l.value, (bit_count(xor(p.h, l.h)), l.set_name, l.value)) AS value, min(bit_count(xor(p.h, l.h)))::INTEGER AS distance
-FROM ph p JOIN (SELECT DISTINCT source AS set_name, lower(trim(phash)) AS value, ('0x' || lower(trim(phash)))::UBIGINT AS h FROM f WHERE id % 4 = 0 AND source IS NOT NULL AND regexp_full_match(lower(trim(phash)), '[0-9a-f]{16}')) l
+FROM ph p JOIN (SELECT DISTINCT source AS set_name, lower(trim(phash)) AS value, ('0x' || lower(trim(phash)))::UBIGINT AS h FROM f WHERE category IN (1, 2) AND source IS NOT NULL AND regexp_full_match(lower(trim(phash)), '[0-9a-f]{16}')) l
 ON bit_count(xor(p.h, l.h)) <= 6 WHERE p.id NOT IN (SELECT id FROM hits) GROUP BY p.id""")
 def j02_perceptual_fallback(spark, folder):
     base = files(spark, folder)
-    # The listed hashes are a stand-in set: the perceptual hashes of some files.
-    listed = base.where((F.col("id") % 4 == 0) & F.col("source").isNotNull()).select(F.col("source").alias("set_name"), hex_digits(F.col("phash"), 16).alias("value")).where(F.col("value").isNotNull())
+    # The listed hashes are a stand-in set: the perceptual hashes of notable files.
+    listed = base.where(F.col("category").isin(1, 2) & F.col("source").isNotNull()).select(F.col("source").alias("set_name"), hex_digits(F.col("phash"), 16).alias("value")).where(F.col("value").isNotNull())
     return matching.match_perceptual(base, listed, _hits(spark, folder))
 
 
@@ -336,10 +335,10 @@ def g08_stash_summary(spark, folder):
     return stats.stash_summary(rows.select(F.col("source").alias("region"), "category", F.col("media_id").alias("added_at")))
 
 
-@query("SELECT media_id, seq, name_id, value FROM (SELECT *, row_number() OVER (PARTITION BY hashset_id, media_id, name_id ORDER BY seq, value) AS rn FROM (SELECT DISTINCT * FROM vic_media_exif) WHERE media_id <> 0 AND hashset_id = 1) WHERE rn = 1")
+@query("SELECT hashset_id, media_id, seq, name_id, value FROM (SELECT *, row_number() OVER (PARTITION BY hashset_id, media_id, name_id ORDER BY seq NULLS FIRST, value NULLS FIRST) AS rn FROM (SELECT DISTINCT * FROM vic_media_exif)) WHERE rn = 1")
 def w04_first_record_wins(spark, folder):
-    rows = table(spark, folder, "vic_media_exif").distinct().where((F.col("media_id") != 0) & (F.col("hashset_id") == 1))
-    return rows.groupBy("media_id", "name_id").agg(F.min(F.struct("seq", "value")).alias("x")).select("media_id", "x.seq", "name_id", "x.value")
+    rows = table(spark, folder, "vic_media_exif")
+    return rows.groupBy("hashset_id", "media_id", "name_id").agg(F.min(F.struct("seq", "value")).alias("x")).select("hashset_id", "media_id", "x.seq", "name_id", "x.value")
 
 
 # --- searches -----------------------------------------------------------------------------------------
@@ -439,15 +438,15 @@ def g06_member_counts(spark, folder):
     return containers.member_counts(files(spark, folder))
 
 
-@query("""SELECT coalesce(c.status, 'unread') AS status, coalesce(c.ai, '') AS ai, count(*) AS n FROM f LEFT JOIN (SELECT media_id AS id, min(CASE media_id % 4 WHEN 0 THEN 'c2pa' WHEN 1 THEN 'xmp' ELSE 'none' END) AS status,
-min(CASE media_id % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END) AS ai FROM r GROUP BY 1) c ON c.id = f.id WHERE f.kind IN ('image', 'video') GROUP BY 1, 2""")
+@query("""SELECT coalesce(c.status, 'unread') AS status, coalesce(c.ai, '') AS ai, count(*) AS n FROM f LEFT JOIN (SELECT media_id AS id, min(CASE category WHEN 4 THEN 'c2pa' WHEN 0 THEN 'xmp' ELSE 'none' END) AS status,
+min(CASE mime WHEN 'image/png' THEN 'yes' WHEN 'image/jpeg' THEN 'no' END) AS ai FROM r GROUP BY 1) c ON c.id = f.id WHERE f.kind IN ('image', 'video') GROUP BY 1, 2""")
 def g04_credentials_census(spark, folder):
     m = F.col("media_id")
-    c = records(spark, folder).groupBy(m.alias("id")).agg(F.min(F.when(m % 4 == 0, "c2pa").when(m % 4 == 1, "xmp").otherwise("none")).alias("status"), F.min(F.when(m % 5 == 0, "yes").when(m % 5 == 1, "no")).alias("ai"))
+    c = records(spark, folder).groupBy(m.alias("id")).agg(F.min(F.when(F.col("category") == 4, "c2pa").when(F.col("category") == 0, "xmp").otherwise("none")).alias("status"), F.min(F.when(F.col("mime") == "image/png", "yes").when(F.col("mime") == "image/jpeg", "no")).alias("ai"))
     return stats.credentials_census(files(spark, folder), c)
 
 
-@query("SELECT event_id % 500 AS id, CASE WHEN coalesce(bool_or(value > 150), false) THEN 'yes' WHEN coalesce(bool_or(NOT value > 150), false) THEN 'no' WHEN bool_or(true) THEN 'unknown' END AS ai FROM events GROUP BY 1")
+@query("SELECT user_id AS id, CASE WHEN coalesce(bool_or(value > 150), false) THEN 'yes' WHEN coalesce(bool_or(NOT value > 150), false) THEN 'no' WHEN bool_or(true) THEN 'unknown' END AS ai FROM events GROUP BY 1")
 def g17_ai_verdict(spark, folder):
-    e = table(spark, folder, "events").select((F.col("event_id") % 500).alias("id"), (F.col("value") > 150).alias("generated"), F.lit(True).alias("stated"))
+    e = table(spark, folder, "events").select(F.col("user_id").alias("id"), (F.col("value") > 150).alias("generated"), F.lit(True).alias("stated"))
     return stats.ai_verdict(e)

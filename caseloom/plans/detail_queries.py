@@ -15,13 +15,13 @@ from ..operators.components import connected_components
 from ..session import table
 from .case_queries import QUERIES, SQL, _WITH, _hits, entries, files, query, records
 
-_CRED = "c AS (SELECT media_id AS id, min(CASE media_id % 4 WHEN 0 THEN 'c2pa' WHEN 1 THEN 'xmp' ELSE 'none' END) AS status, min(CASE media_id % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END) AS ai FROM r GROUP BY 1)"
+_CRED = "c AS (SELECT media_id AS id, min(CASE category WHEN 4 THEN 'c2pa' WHEN 0 THEN 'xmp' ELSE 'none' END) AS status, min(CASE mime WHEN 'image/png' THEN 'yes' WHEN 'image/jpeg' THEN 'no' END) AS ai FROM r GROUP BY 1)"
 
 
 def _credentials(spark, folder) -> DataFrame:
     """A stand-in for content credentials: readings derived from the imported records."""
     m = F.col("media_id")
-    return records(spark, folder).groupBy(m.alias("id")).agg(F.min(F.when(m % 4 == 0, "c2pa").when(m % 4 == 1, "xmp").otherwise("none")).alias("status"), F.min(F.when(m % 5 == 0, "yes").when(m % 5 == 1, "no")).alias("ai"))
+    return records(spark, folder).groupBy(m.alias("id")).agg(F.min(F.when(F.col("category") == 4, "c2pa").when(F.col("category") == 0, "xmp").otherwise("none")).alias("status"), F.min(F.when(F.col("mime") == "image/png", "yes").when(F.col("mime") == "image/jpeg", "no")).alias("ai"))
 
 
 @query("SELECT id FROM f WHERE kind = 'archive' AND (lower(ext) IN ('.pdf','.html','.htm','.xhtml','.mht','.mhtml','.webarchive') OR (coalesce(ext, '') = '' AND id IN (SELECT container_id FROM f WHERE regexp_matches(orig_name, '^(?i:p.{4}_obj|unused_obj|attachment_obj)'))))")
@@ -57,9 +57,9 @@ def f14_case_set_hit(spark, folder):
     return _hits(spark, folder).where((F.col("store") == "case") & (F.col("kind") == "known")).select("id").distinct()
 
 
-@query("SELECT id, CASE WHEN id % 11 = 0 THEN 'online-only cloud placeholder: ' || size WHEN id % 7 = 0 THEN 'cannot decode' END AS error FROM f WHERE id % 7 = 0 AND id % 11 <> 0")
+@query("SELECT id, 'cannot decode' AS error FROM f WHERE size <> 0 AND kind = 'image' AND phash IS NULL")
 def f26_retryable_errors(spark, folder):
-    error = F.when(F.col("id") % 11 == 0, F.concat(F.lit("online-only cloud placeholder: "), F.col("size"))).when(F.col("id") % 7 == 0, "cannot decode")
+    error = F.when(F.col("size") == 0, F.concat(F.lit("online-only cloud placeholder: "), F.col("size"))).when((F.col("kind") == "image") & F.col("phash").isNull(), "cannot decode")
     rows = files(spark, folder).select("id", error.alias("error"))
     return rows.where(F.col("error").isNotNull() & ~F.col("error").startswith("online-only cloud placeholder: "))
 
@@ -126,11 +126,11 @@ def j03_record_details(spark, folder):
     return records(spark, folder).select("media_id", "md5").join(first, "media_id", "left")
 
 
-@query("SELECT f.container_id, count(*) AS n FROM f LEFT JOIN f g ON g.id = f.id AND g.id % 9 <> 4 WHERE f.container_id IS NOT NULL AND (g.id IS NULL OR g.size <> f.size + CASE WHEN f.id % 13 = 0 THEN 1 ELSE 0 END) GROUP BY 1")
+@query("SELECT f.container_id, count(*) AS n FROM f LEFT JOIN f g ON g.id = f.id AND g.origin IS DISTINCT FROM 'carve' WHERE f.container_id IS NOT NULL AND (g.id IS NULL OR g.size <> f.size + CASE WHEN f.kind = 'other' THEN 1 ELSE 0 END) GROUP BY 1")
 def j12_archive_mismatches(spark, folder):
     """Members of an archive found missing or changed against what was recorded."""
-    base = files(spark, folder).where(F.col("container_id").isNotNull()).select("id", "container_id", (F.col("size") + F.when(F.col("id") % 13 == 0, 1).otherwise(0)).alias("size"))
-    found = files(spark, folder).where(F.col("id") % 9 != 4).select("id", F.col("size").alias("now"))
+    base = files(spark, folder).where(F.col("container_id").isNotNull()).select("id", "container_id", (F.col("size") + F.when(F.col("kind") == "other", 1).otherwise(0)).alias("size"))
+    found = files(spark, folder).where(~F.col("origin").eqNullSafe("carve")).select("id", F.col("size").alias("now"))
     bad = base.join(found, "id", "left").where(F.col("now").isNull() | (F.col("now") != F.col("size")))
     return bad.groupBy("container_id").agg(F.count(F.lit(1)).alias("n"))
 

@@ -81,9 +81,9 @@ SQL["x16_descendants"] = _WITH.replace("WITH f", "WITH RECURSIVE f", 1) + """, t
 walk(root, id, depth) AS (SELECT t.id, f.id, 1 FROM top t JOIN f ON f.container_id = t.id UNION SELECT w.root, f.id, w.depth + 1 FROM walk w JOIN f ON f.container_id = w.id WHERE w.depth < 8) SELECT root, id, depth FROM walk"""
 
 
-@query("SELECT id FROM f WHERE kind = 'archive' AND id % 4 <> 3 AND id NOT IN (SELECT container_id FROM f WHERE container_id IS NOT NULL)")
+@query("SELECT id FROM f WHERE kind = 'archive' AND (size & 3) <> 3 AND id NOT IN (SELECT container_id FROM f WHERE container_id IS NOT NULL)")
 def s17_unsettled_containers(spark, folder):
-    return containers.unsettled_containers(files(spark, folder).withColumn("expanded", (F.col("id") % 4).cast("int")))
+    return containers.unsettled_containers(files(spark, folder).withColumn("expanded", F.col("size").bitwiseAND(F.lit(3)).cast("int")))
 
 
 def _extents(spark, folder):
@@ -114,9 +114,9 @@ def w08_contiguous_run(spark, folder):
     return containers.contiguous_run(p)
 
 
-@query('SELECT source AS "case", path AS name FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ingested_at DESC NULLS LAST, path DESC) AS rn FROM f WHERE id % 3 <> 0) WHERE rn > 20')
+@query('SELECT source AS "case", path AS name FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ingested_at DESC NULLS LAST, path DESC) AS rn FROM f WHERE origin IS NOT NULL) WHERE rn > 20')
 def w05_prune_snapshots(spark, folder):
-    s = files(spark, folder).select(F.col("source").alias("case"), F.col("path").alias("name"), F.col("ingested_at").alias("taken_at"), (F.col("id") % 3 != 0).alias("automatic"))
+    s = files(spark, folder).select(F.col("source").alias("case"), F.col("path").alias("name"), F.col("ingested_at").alias("taken_at"), F.col("origin").isNotNull().alias("automatic"))
     return containers.prune_snapshots(s)
 
 
@@ -139,29 +139,29 @@ def w09_every_kth(spark, folder):
 
 def _views(spark, folder):
     """Member names as seen through two storage views of some sources."""
-    base = files(spark, folder).where(~F.col("rel_path").rlike("data|storage|sdcard|mnt")).select("source", "rel_path", "size", "id")
-    one = base.where(F.col("id") % 2 == 0).select("source", F.concat(F.lit("data/media/0/"), "rel_path").alias("name"), "size", F.lit(None).cast("long").alias("crc"))
-    two = base.where(F.col("id") % 3 == 0).select("source", F.concat(F.lit("storage/emulated/0/"), "rel_path").alias("name"), (F.col("size") + F.when(F.col("id") % 5 == 0, 1).otherwise(0)).alias("size"), F.lit(None).cast("long").alias("crc"))
+    base = files(spark, folder).where(~F.col("rel_path").rlike("data|storage|sdcard|mnt")).select("source", "rel_path", "size", "kind", "origin")
+    one = base.where(F.col("kind") == "image").select("source", F.concat(F.lit("data/media/0/"), "rel_path").alias("name"), "size", F.lit(None).cast("long").alias("crc"))
+    two = base.where(F.col("source") > "m").select("source", F.concat(F.lit("storage/emulated/0/"), "rel_path").alias("name"), (F.col("size") + F.when(F.col("origin") == "carve", 1).otherwise(0)).alias("size"), F.lit(None).cast("long").alias("crc"))
     return one.unionByName(two)
 
 
-@query(""", v AS (SELECT DISTINCT source, 'data/media/0/' || rel_path AS name, rel_path AS rest, 5 AS rank, size FROM f WHERE id % 2 = 0 AND NOT regexp_matches(rel_path, 'data|storage|sdcard|mnt') UNION SELECT DISTINCT source, 'storage/emulated/0/' || rel_path, rel_path, 6, size + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END FROM f WHERE id % 3 = 0 AND NOT regexp_matches(rel_path, 'data|storage|sdcard|mnt')),
+@query(""", v AS (SELECT DISTINCT source, 'data/media/0/' || rel_path AS name, rel_path AS rest, 5 AS rank, size FROM f WHERE kind = 'image' AND NOT regexp_matches(rel_path, 'data|storage|sdcard|mnt') UNION SELECT DISTINCT source, 'storage/emulated/0/' || rel_path, rel_path, 6, size + CASE WHEN origin = 'carve' THEN 1 ELSE 0 END FROM f WHERE source > 'm' AND NOT regexp_matches(rel_path, 'data|storage|sdcard|mnt')),
 g AS (SELECT source, rest, count(DISTINCT name) AS n, count(DISTINCT size) AS z, list_sort(list(DISTINCT {'rank': rank, 'name': name})) AS l FROM v GROUP BY 1, 2)
 SELECT source, l[1].name AS name, (list_transform(l[2:], lambda x: x.name))::VARCHAR[] AS alt_paths FROM g WHERE n >= 2 AND z = 1 UNION ALL SELECT source, u.name, []::VARCHAR[] FROM (SELECT source, unnest(l) AS u FROM g WHERE NOT (n >= 2 AND z = 1))""")
 def j09_storage_views(spark, folder):
     return containers.collapse_views(_views(spark, folder))
 
 
-@query("SELECT DISTINCT f.rel_path, CASE WHEN n.rel_path IS NULL THEN 'missing' ELSE 'size' END AS problem FROM f LEFT JOIN (SELECT rel_path, max(size) AS size FROM f WHERE id % 10 <> 1 GROUP BY 1) n ON n.rel_path = f.rel_path WHERE n.rel_path IS NULL OR n.size <> f.size")
+@query("SELECT DISTINCT f.rel_path, CASE WHEN n.rel_path IS NULL THEN 'missing' ELSE 'size' END AS problem FROM f LEFT JOIN (SELECT rel_path, max(size) AS size FROM f WHERE origin IS DISTINCT FROM 'carve' GROUP BY 1) n ON n.rel_path = f.rel_path WHERE n.rel_path IS NULL OR n.size <> f.size")
 def j11_relink_problems(spark, folder):
     base = files(spark, folder)
-    listing = base.where(F.col("id") % 10 != 1).groupBy("rel_path").agg(F.max("size").alias("size"))
+    listing = base.where(~F.col("origin").eqNullSafe("carve")).groupBy("rel_path").agg(F.max("size").alias("size"))
     return containers.relink_problems(base, listing)
 
 
-@query("SELECT source AS archive, min(string_split(rel_path, '/')[1]) AS wrapper FROM f WHERE id % 50 = 3 GROUP BY source HAVING count(DISTINCT string_split(rel_path, '/')[1]) = 1 AND bool_and(contains(rel_path, '/')) AND min(string_split(rel_path, '/')[1]) NOT IN ('data', 'private', 'Users', 'storage')")
+@query("SELECT source AS archive, min(string_split(rel_path, '/')[1]) AS wrapper FROM f GROUP BY source HAVING count(DISTINCT string_split(rel_path, '/')[1]) = 1 AND bool_and(contains(rel_path, '/')) AND min(string_split(rel_path, '/')[1]) NOT IN ('data', 'private', 'Users', 'storage')")
 def s10_wrapper_folder(spark, folder):
-    return containers.wrapper_folder(files(spark, folder).where(F.col("id") % 50 == 3).select(F.col("source").alias("archive"), F.col("rel_path").alias("name")))
+    return containers.wrapper_folder(files(spark, folder).select(F.col("source").alias("archive"), F.col("rel_path").alias("name")))
 
 
 # --- sources ------------------------------------------------------------------------------------------
@@ -274,10 +274,10 @@ def f09_flagged(spark, folder):
     return files(spark, folder).join(flagged, "id", "left_semi").select("id")
 
 
-@query("SELECT id, coalesce(vstack_id, stack_id, id) AS grp FROM f WHERE coalesce(vstack_id, stack_id, id) IN (SELECT coalesce(vstack_id, stack_id, id) FROM f WHERE id % 97 = 1)")
+@query("SELECT id, coalesce(vstack_id, stack_id, id) AS grp FROM f WHERE coalesce(vstack_id, stack_id, id) IN (SELECT coalesce(vstack_id, stack_id, id) FROM f WHERE category = 1)")
 def j13_categorize_group(spark, folder):
     base = files(spark, folder)
-    chosen = base.where(F.col("id") % 97 == 1).select(S.group_key().alias("grp"))
+    chosen = base.where(F.col("category") == 1).select(S.group_key().alias("grp"))
     return base.withColumn("grp", S.group_key()).join(chosen, "grp", "left_semi").select("id", "grp")
 
 
