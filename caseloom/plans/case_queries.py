@@ -162,7 +162,7 @@ def t01_virtual_name_sort(spark, folder):
 
 
 @query("SELECT id, coalesce(vstack_id, stack_id, id) AS grp, CASE WHEN id = min(id) OVER (PARTITION BY coalesce(vstack_id, stack_id, id)) THEN 1 ELSE 0 END AS grp_head FROM f")
-def p07_group_heads(spark, folder):
+def w02_group_heads(spark, folder):
     return gallery.group_heads(files(spark, folder))
 
 
