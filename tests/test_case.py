@@ -136,3 +136,22 @@ def test_stream_lands_each_path_once(spark, tmp_path):
 def test_scalar_edges(spark):
     r = spark.range(1).select(S.size_text(F.lit(None).cast("long")).alias("a"), S.size_text(F.lit(1536)).alias("b"), S.duration_text(F.lit(65.9)).alias("c"), S.hamming(F.lit(None).cast("long"), F.lit(1).cast("long")).alias("d"), S.leading_number(F.lit("x")).alias("e")).head()
     assert tuple(r) == ("", "2 KB", "1:05", 999, 0.0)
+
+
+def test_busy_bytes_lose_no_pair(spark):
+    rng = random.Random(8)
+    # All share the upper byte, which is often all that two have in common; the second hash is missing for some.
+    base = [rng.getrandbits(56) for _ in range(300)]
+    rows = []
+    for k in range(3000):
+        h = base[k % 300]
+        for at in rng.sample(range(56), rng.randrange(8)):
+            h ^= 1 << at
+        rows.append((k, 0x0F << 56 | h, rng.choice([None, 5, 7, -1])))
+    far = lambda x, y, most: ((x ^ y) & (1 << 64) - 1).bit_count() > most
+    want = {(a, b) for a, h, d in rows for b, g, e in rows[a + 1 :] if not far(h, g, 12) and (d is None or e is None or not far(d, e, 14))}
+    df = spark.createDataFrame(rows, "id long, h long, d long")
+    assert {tuple(r) for r in dedupe.perceptual_pairs(df, 12).collect()} == want and len(want) > 5000
+    assert dedupe.perceptual_pairs(df, 12, cap=10).count() < len(want)
+    linked = components.connected_components(dedupe.perceptual_pairs(df, 12, forest=True)).collect()
+    assert sorted(map(tuple, linked)) == sorted(map(tuple, components.connected_components(dedupe.perceptual_pairs(df, 12)).collect()))
