@@ -2,8 +2,8 @@
 
 Texts become words that ignore case, accents, punctuation, markup, invisible characters and line-break
 hyphens. Of every window of consecutive word shingles the one with the smallest hash is a fingerprint; any
-stretch of ``WINDOW + SHINGLE - 1`` words shared with an item therefore shares a fingerprint with it. Hits are
-extended by aligning the item with the text around them, allowing words changed, added and dropped.
+stretch of ``WINDOW + SHINGLE - 1`` words shared with an item therefore shares a fingerprint with it. Around
+hits, stretches of the item are aligned with the text, allowing words changed, added and dropped.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from ..session import spread
 
 SHINGLE, WINDOW = 5, 3
-#: An item counts as contained from this part of its words on; the data has nothing between 0.3 and 0.6.
-LEAST_PART = 0.47
+#: An item counts as contained from a stretch of this part of its words on; the data has nothing between 0.3 and 0.6.
+#: A stretch of 0.6 loses at most 0.05 to the distance of starts, and edits can widen one of 0.4 to 0.48 only.
+LEAST_PART = 0.5
 #: Of the aligned stretch, so much may be changed, added or dropped (one in ten, and an edge's width of slack).
 MOST_EDITS = 0.16
 #: Held-out items compared in one pass over the corpus; more are compared in several passes.
@@ -32,7 +33,6 @@ ITEMS_PER_PASS = 20_000
 #: A stretch of 0.6 of an item with one word in ten edited keeps at least 0.6 - 5 * 0.06 of the item's shingles,
 #: less the four that end each stretch; a little below that, texts need not be aligned.
 LEAST_GRAMS = 0.27
-_EDIT_COST = 3
 
 _INLINE = regex.compile(r"(?i)</?(?:b|i|em|strong|span|a|u|s|code|mark|sub|sup|small|font|tt|wbr)(?:\s[^<>]*)?/?>")
 _TAG = regex.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>|<![^<>]*>", regex.S)
@@ -117,42 +117,31 @@ class ItemIndex:
         return cls([i for i, _ in items], words, all_grams[order], item[order], at[order])
 
 
-def stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """(item words spanned, edits within) of the best local alignment of an item with a text."""
-    m = len(text)
-    cost = np.arange(m + 1) * _EDIT_COST
-    score = np.zeros(m + 1, "int64")
-    begun = np.zeros(m + 1, "int64")  # first item word of the alignment that ends here
-    edits = np.zeros(m + 1, "int64")
-    best = (0, 0, 0)
-    for i, w in enumerate(item):
-        same = text == w
-        step = np.where(same, 1, -_EDIT_COST)
-        across = score[:-1] + step
-        down = score[1:] - _EDIT_COST
-        new = np.zeros(m + 1, "int64")
-        new[1:] = np.maximum(np.maximum(across, down), 0)
-        by_across = (new[1:] == across) & (new[1:] > 0)
-        start = np.full(m + 1, i + 1, "int64")
-        count = np.zeros(m + 1, "int64")
-        start[1:] = np.where(by_across, np.where(score[:-1] > 0, begun[:-1], i), np.where(new[1:] > 0, begun[1:], i + 1))
-        count[1:] = np.where(by_across, np.where(score[:-1] > 0, edits[:-1], 0) + ~same, np.where(new[1:] > 0, edits[1:] + 1, 0))
-        # Words added in the text: carry the best score to the right at the cost of one edit each.
-        lifted = new + cost
-        source = np.maximum.accumulate(lifted)
-        better = source > lifted
-        if better.any():
-            origin = np.maximum.accumulate(np.where(better, 0, np.arange(m + 1)))
-            value = new[origin] - (np.arange(m + 1) - origin) * _EDIT_COST
-            take = better & (value > new)
-            start = np.where(take, start[origin], start)
-            count = np.where(take, count[origin] + (np.arange(m + 1) - origin), count)
-            new = np.where(take, value, new)
-        score, begun, edits = new, start, count
-        top = int(score.argmax())
-        if score[top] > best[0]:
-            best = (int(score[top]), i + 1 - int(begun[top]), int(edits[top]))
-    return best[1], best[2]
+def holds(item: np.ndarray, text: np.ndarray) -> bool:
+    """Whether a stretch of LEAST_PART of an item or more lies in a text with at most MOST_EDITS of it edited.
+
+    Row by row, the fewest edits that turn the item's words from each start on into words that end at each place of
+    the text. Starts are a twentieth of the item apart, which takes no more than that off a stretch's front.
+    """
+    size, m = len(item), len(text)
+    least = max(1, int(np.ceil(LEAST_PART * size)))
+    starts = np.arange(0, size - least + 1, max(1, size // 20))
+    differs = (item[:, None] != text[None, :]).astype("int32")
+    places = np.arange(m + 1, dtype="int32")
+    edits = np.zeros((len(starts), m + 1), "int32")
+    for i in range(size):
+        # A start whose edits exceed what its longest stretch may have is given up.
+        on = (starts + i < size) & (edits.min(axis=1) <= MOST_EDITS * (size - starts))
+        starts, edits = starts[on], edits[on]
+        if not len(starts):
+            return False
+        new = edits + 1
+        np.minimum(new[:, 1:], edits[:, :-1] + differs[starts + i], out=new[:, 1:])
+        # Words added in the text cost one edit each.
+        edits = np.minimum.accumulate(new - places, axis=1) + places
+        if i + 1 >= least and edits.min() <= MOST_EDITS * (i + 1):
+            return True
+    return False
 
 
 def items_in(text: np.ndarray, index: ItemIndex) -> list[int]:
@@ -188,8 +177,7 @@ def items_in(text: np.ndarray, index: ItemIndex) -> list[int]:
             continue
         for first in _starts(d, upto, many, slack):
             a, z = max(0, int(d[first]) - slack), min(len(text), int(d[first]) + size + 2 * slack)
-            spanned, edits = stretch(words, text[a:z])
-            if spanned >= LEAST_PART * size and edits <= MOST_EDITS * spanned:
+            if holds(words, text[a:z]):
                 found.append(index.ids[k])
                 break
     return found

@@ -57,3 +57,24 @@ def test_winnowing_guarantee():
         a, b = (np.concatenate([rng.integers(0, 2**63, 30).astype("uint64"), shared, rng.integers(0, 2**63, 30).astype("uint64")]) for _ in range(2))
         prints = [set(leaks.shingles(x)[leaks.winnow(leaks.shingles(x))].tolist()) for x in (a, b)]
         assert prints[0] & prints[1]
+
+
+def test_edits_near_the_ends_lose_no_passage():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    some = lambda n: rng.integers(0, 2**63, n).astype("uint64")
+    for size in (40, 41, 60, 80):
+        index = leaks.ItemIndex.of([(7, " ".join(f"w{k}" for k in range(size)))])
+        item, long = index.words[0], -(-size * 6 // 10)
+        text = np.concatenate([some(50), item[5 : 5 + long], some(50)])
+        text[[50 + long - 8, 50 + long - 5]] = some(2)
+        assert leaks.items_in(text, index) == [7]
+        for _ in range(60):
+            first = rng.integers(size - long + 1)
+            words = [[w] for w in item[first : first + long]]
+            for at in rng.choice(long, long // 10, replace=False):
+                words[at] = [[], list(some(1)), [words[at][0], *some(1)]][rng.integers(3)]
+            text = np.concatenate([some(50), np.array([x for w in words for x in w], "uint64"), some(50)])
+            assert leaks.items_in(text, index) == [7]
+        assert leaks.items_in(np.concatenate([some(50), item[: size * 4 // 10], some(50)]), index) == []
