@@ -171,11 +171,8 @@ def items_in(text: np.ndarray, index: ItemIndex) -> list[int]:
         slack = max(3, size // 5)
         # Shingles that lie within one edit-wide diagonal, counted once per place in the text.
         d = shift[s:e]
-        upto = np.searchsorted(d, d + slack, "right")
-        many = int((upto - np.arange(len(d))).max())
-        if many < max(1, LEAST_GRAMS * size - SHINGLE + 1):
-            continue
-        for first in _starts(d, upto, many, slack):
+        count = np.searchsorted(d, d + slack, "right") - np.arange(len(d))
+        for first in _starts(d, count, max(1, LEAST_GRAMS * size - SHINGLE + 1), slack):
             a, z = max(0, int(d[first]) - slack), min(len(text), int(d[first]) + size + 2 * slack)
             if holds(words, text[a:z]):
                 found.append(index.ids[k])
@@ -183,15 +180,16 @@ def items_in(text: np.ndarray, index: ItemIndex) -> list[int]:
     return found
 
 
-def _starts(d: np.ndarray, upto: np.ndarray, many: int, slack: int) -> Iterator[int]:
-    """Places on the diagonal axis worth aligning, the fullest first, each a good way from the others."""
-    count = upto - np.arange(len(d))
-    taken: list[int] = []
+def _starts(d: np.ndarray, count: np.ndarray, least: float, slack: int) -> Iterator[int]:
+    """Places on the diagonal axis that hold enough, the fullest first, each a good way from the others."""
+    taken: dict[int, int] = {}  # by stretches of the axis that are too short for two
     for i in np.argsort(-count, kind="stable"):
-        if count[i] * 2 < many or len(taken) >= 64:
+        if count[i] < least:
             return
-        if all(abs(int(d[i]) - t) > slack for t in taken):
-            taken.append(int(d[i]))
+        at = int(d[i])
+        k = at // (slack + 1)
+        if all(abs(at - taken.get(n, at + slack + 1)) > slack for n in (k - 1, k, k + 1)):
+            taken[k] = at
             yield int(i)
 
 

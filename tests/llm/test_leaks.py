@@ -78,3 +78,20 @@ def test_edits_near_the_ends_lose_no_passage():
             text = np.concatenate([some(50), np.array([x for w in words for x in w], "uint64"), some(50)])
             assert leaks.items_in(text, index) == [7]
         assert leaks.items_in(np.concatenate([some(50), item[: size * 4 // 10], some(50)]), index) == []
+
+
+def test_fuller_and_many_other_places_hide_no_passage():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    some = lambda n: rng.integers(0, 2**63, n).astype("uint64")
+    index = leaks.ItemIndex.of([(7, " ".join(f"w{k}" for k in range(60)))])
+    item = index.words[0]
+    passage = item[10:46].copy()
+    passage[[8, 17, 26]] = some(3)
+    # Seventy places hold less than half of the item but more shingles than the edited passage has.
+    parts = [x for _ in range(70) for x in (item[:24], some(200))]
+    assert leaks.items_in(np.concatenate(parts), index) == []
+    assert leaks.items_in(np.concatenate([*parts, passage, some(50)]), index) == [7]
+    # One place repeats many times over a few words: far fuller, and no passage either.
+    assert leaks.items_in(np.concatenate([np.tile(np.concatenate([item[:6], item[:6]]), 9), some(200), passage]), index) == [7]
