@@ -208,7 +208,7 @@ def s27_import_media(spark, folder):
 
 @query("SELECT DISTINCT raw_id, nullif(regexp_extract(left(body, 200), '/[0-9.]+\\.xml/([A-Za-z-]+)/\\$metadata', 1), '') AS region FROM vic_raw WHERE body IS NOT NULL")
 def s32_region_tag(spark, folder):
-    return table(spark, folder, "vic_raw").where(F.col("body").isNotNull()).select("raw_id", readers.region_of(F.substring("body", 1, 200)).alias("region")).distinct()
+    return table(spark, folder, "vic_raw").where(F.col("body").isNotNull()).select("raw_id", readers.region_of(F.col("body")).alias("region")).distinct()
 
 
 # --- scalar functions ---------------------------------------------------------------------------------
