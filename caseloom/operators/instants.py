@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 from functools import lru_cache
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,11 +81,16 @@ def interval_table(spark: SparkSession, zones: list[str]) -> DataFrame:
     )
 
 
+def known_zones(names: DataFrame, name: str) -> list[str]:
+    """Zones of the zone database among the texts of a column; the database bounds their number."""
+    return [r[0] for r in names.select(F.col(name).alias("z")).where(F.col("z").isin(sorted(available_timezones()))).distinct().collect()]
+
+
 def zones_named_in(values: DataFrame, value: str = "value") -> list[str]:
-    """Zones that readings without an offset name in brackets; the zone database bounds their number."""
+    """Zones that readings without an offset name in brackets."""
     zone = F.regexp_extract(value, r"[0-9]\s*\[([A-Za-z0-9_+/-]{1,40})\]\s*$", 1)
     bare = values.where(F.col(value).rlike(r"[0-9]\[") & ~F.col(value).rlike(r"(?i)(?:Z|[+-][0-9]{1,2}:?[0-9]{2})\["))
-    return [r[0] for r in bare.select(zone.alias("z")).where(F.col("z") != "").distinct().limit(2_000).collect()]
+    return known_zones(bare.select(zone.alias("zone")), "zone")
 
 
 def parse_parts(v: Column) -> Column:

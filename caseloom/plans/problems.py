@@ -44,8 +44,7 @@ def p6_exif(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     sources = table(spark, folder, "sources").where(F.col("source").isNotNull()).groupBy("source").agg(F.min("device_zone").alias("zone"))
-    # The dimension is a few devices; should it ever not be, its zones are still the few hundred there are.
-    zones = [r[0] for r in sources.select("zone").where(F.col("zone").isNotNull()).distinct().limit(2_000).collect()]
+    zones = instants.known_zones(sources, "zone")
     files = table(spark, folder, "files").select(F.lit("files").alias("tab"), F.col("id").alias("rec_id"), "source", F.lit("created_dt").alias("field"), F.col("created_dt").alias("value"))
     kinds = ("fs_created", "fs_modified", "fs_accessed")
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("value")) for k in kinds]))

@@ -48,3 +48,12 @@ def test_intervals_follow_the_zone_database():
         z = ZoneInfo(name)
         for s in (since, (since + until) // 2, until - 1):
             assert dt.datetime.fromtimestamp(s, z).utcoffset().total_seconds() == offset
+
+
+def test_zone_is_found_among_many_other_names(spark):
+    from caseloom.operators import instants
+
+    made = [(f"2020-01-02 03:04:05[Made/Up{k}]",) for k in range(6000)]
+    rows = spark.createDataFrame([*made, ("2020-01-02 03:04:05[Asia/Tokyo]",), ("2020-07-02 03:04:05[Europe/Paris]",), (None,)], "value string")
+    assert sorted(instants.zones_named_in(rows)) == ["Asia/Tokyo", "Europe/Paris"]
+    assert instants.known_zones(rows, "value") == []
