@@ -1,45 +1,64 @@
 """Held-out passages inside a training corpus, found by winnowed fingerprints.
 
 Texts become words that ignore case, accents, punctuation, markup, invisible characters and line-break
-hyphens. Of every window of consecutive word shingles the one with the smallest hash is a fingerprint; any
-stretch of ``WINDOW + SHINGLE - 1`` words shared with an item therefore shares a fingerprint with it. Around
-hits, stretches of the item are aligned with the text, allowing words changed, added and dropped.
+hyphens. Of every window of consecutive word shingles the one with the smallest hash is a fingerprint, on both
+sides; any stretch of ``WINDOW + SHINGLE - 1`` words shared with an item therefore shares a fingerprint with
+it. Fingerprints of both sides are joined, and only documents and items that share one go on: there, stretches
+of the item are aligned with the text, allowing words changed, added and dropped.
 """
 
 from __future__ import annotations
 
 import html
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, small, spread
 
-SHINGLE, WINDOW = 5, 3
+SHINGLE, WINDOW = 5, 2
 #: An item counts as contained from a stretch of this part of its words on; the data has nothing between 0.3 and 0.6.
 #: A stretch of 0.6 loses at most 0.05 to the distance of starts, and edits can widen one of 0.4 to 0.48 only.
 LEAST_PART = 0.5
 #: Of the aligned stretch, so much may be changed, added or dropped (one in ten, and an edge's width of slack).
 MOST_EDITS = 0.16
-#: Held-out items compared in one pass over the corpus; more are compared in several passes.
-ITEMS_PER_PASS = 20_000
 #: A stretch of 0.6 of an item with one word in ten edited keeps at least 0.6 - 5 * 0.06 of the item's shingles,
 #: less the four that end each stretch; a little below that, texts need not be aligned.
 LEAST_GRAMS = 0.27
+#: Bits of the sieve that keeps fingerprints no item has from being shuffled: at least 32 a fingerprint of the
+#: items, at most 2**28 (32 MB). A fuller sieve lets more through; the join decides.
+_SIEVE_BITS, _MOST_SIEVE_BITS = 32, 1 << 28
+_PAGE = 32_768
+#: Items of one document are verified in lots of about this many.
+_LOT = 2048
 
-_INLINE = regex.compile(r"(?i)</?(?:b|i|em|strong|span|a|u|s|code|mark|sub|sup|small|font|tt|wbr)(?:\s[^<>]*)?/?>")
-_TAG = regex.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>|<![^<>]*>", regex.S)
-_UNSEEN = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}]+")
-_BROKEN = regex.compile(r"(?<=\w)[-‐‑]\s*\n[\s>|#*]*(?=\w)|=\r?\n")
-_JOINT = regex.compile(r"(?<=\w)[-‐‑'’‘ʼ`´]+(?=\w)")
-_WORD = regex.compile(r"[^\W_]+")
+_INLINE = re.compile(r"(?i)</?(?:b|i|em|strong|span|a|u|s|code|mark|sub|sup|small|font|tt|wbr)(?:\s[^<>]*)?/?>")
+_TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>|<![^<>]*>", re.S)
+_BROKEN = re.compile(r"[-‐‑](?<=\w[-‐‑])\s*\n[\s>|#*]*(?=\w)|=\r?\n")
+_JOINT = re.compile(r"[-‐‑'’‘ʼ`´](?<=\w[-‐‑'’‘ʼ`´])[-‐‑'’‘ʼ`´]*(?=\w)")
+_WORD = re.compile(r"[^\W_]+")
+
+
+def _unseen() -> re.Pattern[str]:
+    """Combining marks and format characters, as ranges of code points."""
+    spans: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c)) in ("Mn", "Me", "Cf"):
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans) + "]+")
+
+
+_UNSEEN = _unseen()
 
 
 def words_of(text: str | None) -> list[str]:
@@ -55,24 +74,21 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(_JOINT.sub("", _BROKEN.sub("", text)).casefold())
 
 
-class Vocabulary:
+class Vocabulary(dict):
     """64-bit hashes of words, remembering recent ones."""
 
     def __init__(self, remembered: int = 500_000) -> None:
-        self.known: dict[str, int] = {}
+        super().__init__()
         self.remembered = remembered
 
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
     def hashes(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        out = np.empty(len(words), "uint64")
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            out[i] = h
-        return out
+        if len(self) > self.remembered:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), "uint64", len(words))
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -95,28 +111,6 @@ def winnow(grams: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
 
 
-@dataclass
-class ItemIndex:
-    """All shingles of a block of items, sorted by hash, with their places."""
-
-    ids: list[int]
-    words: list[np.ndarray]
-    grams: np.ndarray
-    item: np.ndarray
-    at: np.ndarray
-
-    @classmethod
-    def of(cls, items: list[tuple[int, str]]) -> ItemIndex:
-        vocabulary = Vocabulary()
-        words = [vocabulary.hashes(words_of(t)) for _, t in items]
-        grams = [shingles(w) for w in words]
-        all_grams = np.concatenate(grams) if grams else np.empty(0, "uint64")
-        item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
-        at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, "int64")
-        order = np.argsort(all_grams, kind="stable")
-        return cls([i for i, _ in items], words, all_grams[order], item[order], at[order])
-
-
 def holds(item: np.ndarray, text: np.ndarray) -> bool:
     """Whether a stretch of LEAST_PART of an item or more lies in a text with at most MOST_EDITS of it edited.
 
@@ -144,40 +138,27 @@ def holds(item: np.ndarray, text: np.ndarray) -> bool:
     return False
 
 
-def items_in(text: np.ndarray, index: ItemIndex) -> list[int]:
-    """Ids of the items of which a text, given as word hashes, holds a large enough part."""
-    grams = shingles(text)
-    if not len(grams) or not len(index.grams):
-        return []
-    prints = winnow(grams)
-    lo = np.searchsorted(index.grams, grams[prints])
-    hit = index.grams[np.minimum(lo, len(index.grams) - 1)] == grams[prints]
-    if not hit.any():
-        return []
-    # A fingerprint hit: look at all shingles of this text, and at all places of each among the items.
-    lo, hi = np.searchsorted(index.grams, grams, "left"), np.searchsorted(index.grams, grams, "right")
+def contains(text: np.ndarray, item: np.ndarray) -> bool:
+    """Whether a text, given as word hashes, holds a large enough part of an item, given alike."""
+    size = len(item)
+    grams, own = shingles(text), shingles(item)
+    if not len(grams) or not len(own):
+        return False
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    lo, hi = np.searchsorted(own, grams, "left"), np.searchsorted(own, grams, "right")
     n = hi - lo
     where = np.repeat(np.arange(len(grams)), n)
     place = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    item, shift = index.item[place], where - index.at[place]
-    found = []
-    order = np.lexsort((shift, item))
-    item, shift, where = item[order], shift[order], where[order]
-    bounds = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]])).tolist() + [len(item)]
-    for s, e in zip(bounds, bounds[1:]):
-        k = int(item[s])
-        words = index.words[k]
-        size = len(words)
-        slack = max(3, size // 5)
-        # Shingles that lie within one edit-wide diagonal, counted once per place in the text.
-        d = shift[s:e]
-        count = np.searchsorted(d, d + slack, "right") - np.arange(len(d))
-        for first in _starts(d, count, max(1, LEAST_GRAMS * size - SHINGLE + 1), slack):
-            a, z = max(0, int(d[first]) - slack), min(len(text), int(d[first]) + size + 2 * slack)
-            if holds(words, text[a:z]):
-                found.append(index.ids[k])
-                break
-    return found
+    d = np.sort(where - order[place])
+    slack = max(3, size // 5)
+    # Shingles that lie within one edit-wide diagonal, counted once per place in the text.
+    count = np.searchsorted(d, d + slack, "right") - np.arange(len(d))
+    for first in _starts(d, count, max(1, LEAST_GRAMS * size - SHINGLE + 1), slack):
+        a, z = max(0, int(d[first]) - slack), min(len(text), int(d[first]) + size + 2 * slack)
+        if holds(item, text[a:z]):
+            return True
+    return False
 
 
 def _starts(d: np.ndarray, count: np.ndarray, least: float, slack: int) -> Iterator[int]:
@@ -193,30 +174,87 @@ def _starts(d: np.ndarray, count: np.ndarray, least: float, slack: int) -> Itera
             yield int(i)
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+def _item_prints(items: DataFrame, kind: str) -> DataFrame:
+    """(item_id, words, prints): word hashes as bytes and the winnowed fingerprints of every item."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary = Vocabulary()
+        for batch in batches:
+            rows = []
+            for i, t in zip(batch["item_id"], batch["text"]):
+                words = vocabulary.hashes(words_of(t))
+                grams = shingles(words)
+                if len(grams):
+                    rows.append((i, words.tobytes(), np.unique(grams[winnow(grams)]).view("int64")))
+            yield pd.DataFrame(rows, columns=["item_id", "words", "prints"])
+
+    return items.mapInPandas(run, f"item_id {kind}, words binary, prints array<long>")
+
+
+def _sieve(prints: DataFrame) -> np.ndarray:
+    """A bitmap of the items' fingerprints modulo its length; built in the JVM, of bounded size whatever the items."""
+    n = prints.count()
+    bits = min(_MOST_SIEVE_BITS, max(_PAGE, 1 << (max(1, n) * _SIEVE_BITS - 1).bit_length()))
+    at = prints.select(F.pmod("print", F.lit(bits)).alias("at"))
+    pages = at.groupBy(F.floor(F.col("at") / _PAGE).alias("page")).agg(F.bitmap_construct_agg((F.col("at") % _PAGE).cast("long")).alias("bitmap"))
+    sieve = np.zeros(bits // 8, "uint8")
+    for r in pages.toLocalIterator():
+        own = np.frombuffer(r["bitmap"], "uint8")
+        sieve[r["page"] * (_PAGE // 8) : r["page"] * (_PAGE // 8) + len(own)] = own
+    return sieve
+
+
+def _document_prints(documents: DataFrame, sieve: np.ndarray) -> DataFrame:
+    """(doc_id, words, prints) of documents with a fingerprint that passes the sieve, those prints only."""
+    bits = np.int64(len(sieve) * 8)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary = Vocabulary()
+        for batch in batches:
+            rows = []
+            for d, t in zip(batch["doc_id"], batch["text"]):
+                words = vocabulary.hashes(words_of(t))
+                grams = shingles(words)
+                prints = grams[winnow(grams)].view("int64")
+                at = prints % bits
+                prints = prints[(sieve[at >> 3] >> (at & 7).astype("uint8")) & 1 == 1]
+                if len(prints):
+                    rows.append((d, words.tobytes(), np.unique(prints)))
+            yield pd.DataFrame(rows, columns=["doc_id", "words", "prints"])
+
+    return documents.mapInPandas(run, "doc_id long, words binary, prints array<long>")
+
+
+def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of every document and each held-out item it contains in good part.
 
     An item is contained if one stretch of the document holds about half of its words or more in order, with
     few words changed, added or dropped. Null and empty texts contain nothing and are contained in nothing;
-    items of fewer than five words cannot be told from chance and are not looked for. Repeated rows count
-    once, null ids are left out, extra columns are ignored. The items of one pass (a bounded number) travel
-    to every task; documents are read whole and are never joined or grouped.
+    items of fewer than five words cannot be told from chance and are not looked for; of items of fewer than 20
+    words an edited part may share no stretch of six words and be missed. Repeated rows count once, null ids are left
+    out, extra columns are ignored. Documents are read whole, once; what is shuffled are the fingerprints that
+    some item may have, and the words of documents that share one with an item.
     """
-    wanted = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
-    passes = max(1, -(-wanted.count() // items_per_pass))
     kind = dict(items.dtypes)["item_id"]
+    wanted = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
+    held_out = cut(_item_prints(wanted, kind))
+    item_prints = held_out.select("item_id", F.explode("prints").alias("print"))
     texts = spread(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"))
-    out = None
-    for k in range(passes):
-        block = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else wanted
-        index = ItemIndex.of([(r["item_id"], r["text"]) for r in block.collect()])
-
-        def run(batches: Iterator[pd.DataFrame], index: ItemIndex = index) -> Iterator[pd.DataFrame]:
-            vocabulary = Vocabulary()
-            for batch in batches:
-                rows = [(d, i) for d, t in zip(batch["doc_id"], batch["text"]) for i in sorted(set(items_in(vocabulary.hashes(words_of(t)), index)))]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
-
-        found = texts.mapInPandas(run, f"doc_id long, item_id {kind}")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    # Of several texts of one id, each is looked at; rows are told apart by their words.
+    seen = cut(_document_prints(texts, _sieve(item_prints)).withColumn("row", F.xxhash64("doc_id", "words")))
+    met = seen.select("doc_id", "row", F.explode("prints").alias("print")).join(small(item_prints, 2_000_000), "print")
+    pairs = met.select("doc_id", "row", "item_id").distinct()
+    words = held_out.groupBy("item_id").agg(F.collect_set("words").alias("forms"))  # texts of one item
+    lots = F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-held_out.count() // _LOT))))
+    lists = pairs.join(small(words, 200_000), "item_id").groupBy("doc_id", "row", lots.alias("lot")).agg(F.collect_list(F.struct("item_id", "forms")).alias("items"))
+    both = lists.join(seen.select("doc_id", "row", "words"), ["doc_id", "row"])
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for d, own, held in zip(batch["doc_id"], batch["words"], batch["items"]):
+                text = np.frombuffer(own, "uint64")
+                rows += [(d, x["item_id"]) for x in held if any(contains(text, np.frombuffer(f, "uint64")) for f in x["forms"])]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
+
+    return both.select("doc_id", "words", "items").mapInPandas(verify, f"doc_id long, item_id {kind}").distinct()
