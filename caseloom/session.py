@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -15,12 +17,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _checkpoint_ready(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; choose one only where none is set."""
+    """Use the folder named in ``spark.checkpoint.dir``; choose one only where none is set and all runs on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(folder or Path(tempfile.mkdtemp(prefix="caseloom-")).as_uri())
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        folder = Path(tempfile.mkdtemp(prefix="caseloom-")).as_uri()
+        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
+    context.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,12 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """Hint a broadcast of ``df`` only if it really has at most ``most_rows`` rows.
+def small(df: DataFrame, most_rows: int, most_mb: int = 64) -> DataFrame:
+    """Hint a broadcast of ``df`` only if it has at most ``most_rows`` rows and ``most_mb`` MB of text form.
 
-    A larger side comes back unhinted and is joined by shuffle instead.
+    Rows and bytes are counted in one aggregate that looks no further than the bound; nothing but the two
+    numbers reaches the driver. A larger side comes back unhinted and is joined by shuffle instead.
     """
-    return F.broadcast(df) if len(df.limit(most_rows + 1).select(F.lit(1)).head(most_rows + 1)) <= most_rows else df
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, mb = df.limit(most_rows + 1).select(size.alias("s")).agg(F.count(F.lit(1)), F.coalesce(F.sum("s"), F.lit(0)) / 1e6).head()
+    return F.broadcast(df) if n <= most_rows and mb <= most_mb else df
 
 
 def shuffle_width(spark: SparkSession) -> int:
