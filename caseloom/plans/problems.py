@@ -26,8 +26,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = nested.shred(table(spark, folder, "vic_raw"), ("exif",))
-    return nodes.select("raw_id", "case_pos", "media_pos", "exif_pos", "prop").distinct()
+    return nested.VariantTables(table(spark, folder, "vic_raw"), ("exif",)).supertype("exif", F.col("prop"))
 
 
 def p6_cases(spark: SparkSession, folder: str) -> DataFrame:

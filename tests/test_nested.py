@@ -31,7 +31,18 @@ def test_tables_keep_links(spark):
     df = shred(spark, body, body)
     assert sorted((r.raw_id, r.case_pos, r.case_number) for r in nested.case_table(df).collect()) == [(0, 0, "C1"), (1, 0, "C1")]
     assert sorted((r.raw_id, r.case_pos, r.media_pos, r.variant, r.md5, r.media_key) for r in nested.media_table(df).collect()) == [(i, *x) for i in (0, 1) for x in ((0, 0, "listed", "aa", None), (1, 0, "bare", None, "4"))]
-    assert {(r.variant, r.prop_value) for r in nested.exif_table(df).collect()} == {("object", '{"Num":1}')}
+    assert {(r.variant, r.value_json) for r in nested.exif_table(df).collect()} == {("object", '{"Num":1}')}
+
+
+def test_variants_have_tables_of_their_own(spark):
+    values = ["x", 2.5, True, [1], {"a": 1}, None]
+    body = json.dumps({"value": [{"Media": [{"Exifs": [{"PropertyName": f"P{i}", "PropertyValue": v} for i, v in enumerate(values)] + [{"PropertyName": "P6"}]}]}]})
+    tables = nested.VariantTables(shred(spark, body, body), keep=True)
+    value = lambda k: sorted((r.raw_id, r.exif_pos, r.value) for r in tables.subtype("exif", k).collect())
+    assert value("text") == [(i, 0, "x") for i in (0, 1)] and value("number") == [(i, 1, 2.5) for i in (0, 1)] and value("flag") == [(i, 2, True) for i in (0, 1)]
+    assert [x[1] for x in value("null")] == [5, 6, 5, 6] and value("array")[0][2] == "[1]" and value("object")[0][2] == '{"a":1}'
+    assert sum(t.count() for k, t in tables.subtypes().items() if k.startswith("exif")) == tables.supertype("exif").count() == 14
+    assert {nested.shape_of("case", {}), nested.shape_of("case", {"media": 1}), nested.shape_of("record", {})} == {"object without media", "object with media", "object"}
 
 
 def test_repeats_count_once_and_long_arrays(spark):
