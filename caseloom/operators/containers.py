@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.text import slashed
+from ..session import cut
 
-MOST_DEPTH = 8
 #: Storage views of one folder, the best first: (storage class, pattern, group of the user's number).
 STORAGE_VIEWS = (
     ("ce", r"(^|/)data/data/", 0),
@@ -46,26 +46,29 @@ def collapse_views(members: DataFrame) -> DataFrame:
     # A file has a handful of views, which bounds the list.
     groups = seen.groupBy(*key).agg(F.countDistinct("name").alias("n"), F.countDistinct(F.coalesce("size", F.lit(-1))).alias("sizes"), F.countDistinct("crc").alias("crcs"), F.array_sort(F.collect_set(F.struct("view_rank", "name"))).alias("views"))
     one = (F.col("n") >= 2) & (F.col("sizes") == 1) & (F.col("crcs") <= 1)
-    merged = groups.where(one).select("source", F.col("views")[0]["name"].alias("name"), F.transform(F.slice("views", 2, 1000), lambda v: v["name"]).alias("alt_paths"))
+    merged = groups.where(one).select("source", F.col("views")[0]["name"].alias("name"), F.transform(F.slice("views", 2, F.size("views")), lambda v: v["name"]).alias("alt_paths"))
     apart = groups.where(~one).select("source", F.explode("views").alias("v")).select("source", F.col("v.name").alias("name"), F.array().cast("array<string>").alias("alt_paths"))
     plain = rows.where(F.col("view_key").isNull()).select("source", "name", F.array().cast("array<string>").alias("alt_paths"))
     return merged.unionByName(apart).unionByName(plain)
 
 
-def descendants(files: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """(root, id, depth): every file under every top container, to a bounded depth.
+def descendants(files: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """(root, id, depth): every file under every top container, however deep; ``most_depth`` stops earlier.
 
-    One join per level; a container that (wrongly) contains itself ends at the depth limit.
+    Each level is one join with the parent links and is cut before the next, so plans stay one join long. A
+    container is under a top container once only: files that (wrongly) contain each other hang under no top.
     """
-    child = files.where(F.col("container_id").isNotNull()).select("id", F.col("container_id").alias("parent"))
-    boxes = files.select(F.col("id").alias("parent")).where(F.col("parent").isNotNull())
+    child = files.where(F.col("container_id").isNotNull()).select("id", F.col("container_id").alias("parent")).distinct()
+    boxes = files.select(F.col("id").alias("parent")).where(F.col("parent").isNotNull()).distinct()
     tops = boxes.join(child.select(F.col("id").alias("parent")), "parent", "left_anti").join(child.select("parent").distinct(), "parent", "left_semi")
     level = tops.select(F.col("parent").alias("root"), F.col("parent").alias("id"))
     out = []
-    for depth in range(1, most_depth + 1):
-        level = level.withColumnRenamed("id", "parent").join(child, "parent").select("root", "id")
-        out.append(level.select("root", "id", F.lit(depth).alias("depth")))
-    return reduce(DataFrame.unionByName, out).distinct()
+    while most_depth is None or len(out) < most_depth:
+        level = cut(level.withColumnRenamed("id", "parent").join(child, "parent").select("root", "id"))
+        if not level.head(1):
+            break
+        out.append(level.select("root", "id", F.lit(len(out) + 1).alias("depth")))
+    return reduce(DataFrame.unionByName, out or [level.select("root", "id", F.lit(0).alias("depth"))]).distinct()
 
 
 def member_counts(files: DataFrame) -> DataFrame:

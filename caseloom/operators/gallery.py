@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -144,8 +144,9 @@ def with_duplicates(files: DataFrame, matching: DataFrame, how: str) -> DataFram
     keys = {"exact": ["stack_id"], "visual": ["vstack_id"], "cluster": ["cluster_id"], "any": ["stack_id", "vstack_id", "cluster_id"]}[how]
     parts = []
     for key in keys:
-        grouped = files.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(key)
-        parts.append(matching.join(grouped, key, "left_semi").select("id"))
+        # Two different ids make a group of several; minima combine before the shuffle and repeats do not matter.
+        grouped = files.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select(key)
+        parts.append(matching.select("id", key).join(grouped, key, "left_semi").select("id"))
     return matching.join(reduce(DataFrame.unionByName, parts).distinct(), "id", "left_semi")
 
 
@@ -159,7 +160,11 @@ def collapsed(matching: DataFrame) -> DataFrame:
 
 
 def matching_files(files: DataFrame, q: FileQuery) -> DataFrame:
-    """Rows a request selects, collapsed if asked for, before sorting and paging."""
+    """Rows a request selects, collapsed if asked for, before sorting and paging.
+
+    Exact repeats of a row come out as repeats; whoever picks columns makes them distinct, so that filters and
+    columns reach the scan before anything is shuffled.
+    """
     rows = files.where(predicate(q, files.columns))
     alone = q.stack is not None or q.vstack is not None or q.container is not None
     if q.has_duplicates and not alone:
@@ -167,37 +172,56 @@ def matching_files(files: DataFrame, q: FileQuery) -> DataFrame:
     return collapsed(rows) if q.collapse and not alone else rows
 
 
-def sort_columns(q: FileQuery, known: list[str]) -> list[Column]:
-    """Sort key with ties broken by id; nulls first when ascending, last otherwise.
+def sort_key(q: FileQuery, known: list[str]) -> tuple[Column, bool, bool]:
+    """(key, whether it runs down, whether ties of id do); nulls come first upwards, last downwards.
 
     A column of the list view sorts by itself in the asked direction. Otherwise the short names apply, and
     anything else sorts by rel_path, both upwards unless fixed.
     """
     key = list_column(q.sort or "", known)
     if key is not None:
-        return [key.desc(), F.col("id").desc()] if q.descending else [key.asc(), F.col("id").asc()]
+        return key, q.descending, q.descending
     name, down = NAMED_SORTS.get(q.sort or "", ("rel_path", False))
     if name not in known:
         name, down = "rel_path", False
-    return [F.col(name).desc() if down else F.col(name).asc(), F.col("id").asc()]
+    return F.col(name), down, False
 
 
-def page(files: DataFrame, q: FileQuery) -> DataFrame:
-    """The page of a request, at most 5000 rows: a distributed top-k, never a full sort."""
-    rows = matching_files(files, q).orderBy(*sort_columns(q, files.columns))
-    return (rows.offset(q.offset) if q.offset else rows).limit(min(max(q.limit, 1), MOST_ROWS))
+def page(files: DataFrame, q: FileQuery, columns: list[str | Column]) -> DataFrame:
+    """The page of a request, at most 5000 rows of ``columns``: a distributed top-k over the sort key and id only.
+
+    Repeats count once. Of collapsed requests one aggregate finds the representatives with their sort keys; the
+    rows of the page, whose number is bounded by MOST_ROWS, are looked up by id.
+    """
+    key, down, id_down = sort_key(q, files.columns)
+    order = [F.col("_key").desc() if down else F.col("_key").asc(), F.col("id").desc() if id_down else F.col("id").asc()]
+    most = min(max(q.limit, 1), MOST_ROWS)
+    if q.collapse and q.stack is None and q.vstack is None and q.container is None:
+        rows = matching_files(files, replace(q, collapse=False)).select(S.group_key().alias("_grp"), "id", key.alias("_key"))
+        narrow = rows.groupBy("_grp").agg(F.min(F.struct("id", "_key")).alias("_x")).select("_x.id", "_x._key")
+    else:
+        narrow = matching_files(files, q).select("id", key.alias("_key")).distinct()
+    top = narrow.orderBy(*order)
+    top = (top.offset(q.offset) if q.offset else top).limit(most)
+    found = files.join(F.broadcast(top), "id").select("_key", F.col("id").alias("_id"), *columns).distinct()
+    order = [F.col("_key").desc() if down else F.col("_key").asc(), F.col("_id").desc() if id_down else F.col("_id").asc()]
+    return found.orderBy(*order).limit(most).drop("_key", "_id")
 
 
 def count(files: DataFrame, q: FileQuery) -> DataFrame:
-    return matching_files(files, q).agg(F.count(F.lit(1)).alias("total"))
+    """How many files a request selects; a collapsed one has as many as it has groups."""
+    if q.collapse:
+        return matching_files(files, replace(q, collapse=False)).agg(F.countDistinct(S.group_key()).alias("total"))
+    return matching_files(files, q).agg(F.countDistinct("id").alias("total"))
 
 
-def with_group_sizes(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Add stack_size and vstack_size, counted over all files but only for the groups on the page."""
-    for key, name in (("stack_id", "stack_size"), ("vstack_id", "vstack_size")):
+def with_group_sizes(rows: DataFrame, files: DataFrame, keys: tuple[str, ...] = ("stack_id", "vstack_id")) -> DataFrame:
+    """Add stack_size and vstack_size, counted over all files but only for the groups on the page (at most MOST_ROWS)."""
+    for key in keys:
+        name = key.removesuffix("_id") + "_size"
         wanted = rows.select(key).where(F.col(key).isNotNull()).distinct()
-        sizes = files.join(wanted, key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias(name))
-        rows = rows.join(sizes, key, "left").withColumn(name, F.coalesce(name, F.lit(1)))
+        sizes = files.select("id", key).join(F.broadcast(wanted), key, "left_semi").groupBy(key).agg(F.countDistinct("id").alias(name))
+        rows = rows.join(F.broadcast(sizes), key, "left").withColumn(name, F.coalesce(name, F.lit(1)))
     return rows
 
 
@@ -209,23 +233,38 @@ def group_heads(files: DataFrame) -> DataFrame:
 
 # --- the column-filter language of the list view -------------------------------------------------------
 
-_UNITS = {"b": 1, "k": 1024, "kb": 1024, "m": 1024**2, "mb": 1024**2, "g": 1024**3, "gb": 1024**3}
-#: Numeric columns; what a bare number means to some of them.
+#: Numeric columns; what a bare number means to some of them; words for any value and for none.
 _NUMERIC = ("size", "duration", "width", "height", "faces", "skin_ratio", "gps_lat", "gps_lon", "category", "id")
 _AT_LEAST = ("size", "duration", "skin_ratio")
 _SUBSTRING = ("gps_lat", "gps_lon")
-
-
-def _number(column: str, text: str) -> float | None:
-    """What a typed number means: bytes for a size (bare ones are kilobytes), seconds, or a share of one."""
-    t = text.strip().lower()
-    if column == "size":
-        m = re.fullmatch(r"(-?\d+(?:\.\d+)?)\s*(b|kb?|mb?|gb?)?", t)
-        return float(math.floor(float(m[1]) * _UNITS[m[2] or "kb"] + 0.5)) if m else None
-    if column == "duration" and (m := re.fullmatch(r"(\d+):([0-5]?\d(?:\.\d+)?)", t)):
-        return int(m[1]) * 60 + float(m[2])
-    m = re.match(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:e[-+]?\d+)?", t)
-    return float(m[0]) * (0.01 if column == "skin_ratio" else 1) if m else None
+_ANY, _NONE = ("set", "any", "*"), ("none", "empty", "null")
+_COMPARED = {">=": "min", "<=": "max", ">": "gt", "<": "lt", "=": "eq"}
+
+#: One pattern per kind of token; a column's own quantities come first.
+_PLAIN = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[-+]?[0-9]+)?"
+_TOKENS = {"compare": r">=|<=|>|<|=", "to": r"\.\.|—|–|to\b|-", "space": r"\s+"}
+_QUANTITY = {
+    "size": (r"(?P<n>-?[0-9]+(?:\.[0-9]+)?)\s*(?P<unit>[kmg]b?|b)?(?!\w)", lambda m: float(math.floor(float(m["n"]) * 1024 ** "bkmg".index((m["unit"] or "k")[0]) + 0.5))),
+    "duration": (rf"(?P<min>[0-9]+):(?P<s>[0-5]?[0-9](?:\.[0-9]+)?)|(?P<n>{_PLAIN})\w*", lambda m: float(m["n"]) if m["n"] else int(m["min"]) * 60 + float(m["s"])),
+    "skin_ratio": (rf"(?P<n>{_PLAIN})\s*%?", lambda m: float(m["n"]) * 0.01),
+}
+_OTHER = (rf"(?P<n>{_PLAIN})\w*", lambda m: float(m["n"]))
+
+
+def _tokens(column: str, text: str) -> list[tuple[str, str | float]] | None:
+    """Text as (kind, value) tokens, or None where something is none. A sign belongs to a number only where one may begin."""
+    pattern, value = _QUANTITY.get(column, _OTHER)
+    out: list[tuple[str, str | float]] = []
+    at = 0
+    while at < len(text):
+        number = re.compile(pattern).match(text, at) if not out or out[-1][0] != "number" else None
+        kind, m = ("number", number) if number else next(((k, m) for k, p in _TOKENS.items() if (m := re.compile(p).match(text, at))), (None, None))
+        if m is None:
+            return None
+        if kind != "space":
+            out.append((kind, value(m) if kind == "number" else m[0]))
+        at = m.end()
+    return out
 
 
 def _typed(n: float) -> str:
@@ -233,28 +272,28 @@ def _typed(n: float) -> str:
 
 
 def parse_column_filter(column: str, text: str, choice: bool = False) -> list[tuple[str, str, str]]:
-    """Clauses (column, operation, value) of what was typed above a column; ``choice`` for a fixed list."""
-    t = text.strip()
+    """Clauses (column, operation, value) of what was typed above a column; ``choice`` for a fixed list.
+
+    filter := word for any value | word for none | number `to` number | comparison number | number | text
+    """
+    t = text.strip().lower()
     if not t:
         return []
     if choice:
-        return [(column, "eq", t)]
-    if t.lower() in ("set", "any", "*"):
-        return [(column, "set", "")]
-    if t.lower() in ("none", "empty", "null"):
-        return [(column, "notset", "")]
+        return [(column, "eq", text.strip())]
+    if t in _ANY + _NONE:
+        return [(column, "set" if t in _ANY else "notset", "")]
+    as_text = [(column, "contains", text.strip())]
     if column not in _NUMERIC:
-        return [(column, "contains", t)]
-    if m := re.fullmatch(r"(.+?)\s*(?:\.\.|—|–|\bto\b|-)\s*(.+)", t, re.IGNORECASE):
-        ends = _number(column, m[1]), _number(column, m[2])
-        if None not in ends:
-            return [(column, "min", _typed(min(ends))), (column, "max", _typed(max(ends)))]
-    if (m := re.fullmatch(r"(>=|<=|>|<|=)\s*(.+)", t)) and (n := _number(column, m[2])) is not None:
-        return [(column, {">=": "min", "<=": "max", ">": "gt", "<": "lt", "=": "eq"}[m[1]], _typed(n))]
-    if column in _SUBSTRING:
-        return [(column, "contains", t)]
-    n = _number(column, t)
-    return [] if n is None else [(column, "min" if column in _AT_LEAST else "eq", _typed(n))]
+        return as_text
+    match _tokens(column, t):
+        case [("number", a), ("to", _), ("number", b)]:
+            return [(column, "min", _typed(min(a, b))), (column, "max", _typed(max(a, b)))]
+        case [("compare", sign), ("number", n)]:
+            return [(column, _COMPARED[sign], _typed(n))]
+        case [("number", n)] if column not in _SUBSTRING:
+            return [(column, "min" if column in _AT_LEAST else "eq", _typed(n))]
+    return as_text if column in _SUBSTRING else []
 
 
 # --- containers and counts ----------------------------------------------------------------------------
@@ -266,16 +305,31 @@ def container_members(files: DataFrame, ext_in: tuple[str, ...] | None = None) -
 
 
 def scope(name: str, codes: list[int] | None = None, where: str | None = None) -> Column:
-    """Files a report covers."""
+    """Files a report covers, as a condition on their row; scopes that need other tables are in ``scoped``."""
+    if name == "all":
+        return F.lit(True)
     if name == "categorized":
         return F.col("category").isNotNull() & (F.col("category") != schema.UNCATEGORIZED)
     if name == "uncategorized":
         return F.col("category").isNull() | (F.col("category") == schema.UNCATEGORIZED)
     if name == "categories":
-        return F.col("category").isin(*(codes or [-1]))
+        return F.coalesce("category", F.lit(schema.UNCATEGORIZED)).isin(*(codes or [-1]))
     if name == "where":
         return F.expr(where or "true")
-    return F.lit(True)
+    raise ValueError(f"no such scope: {name}")
+
+
+def scoped(files: DataFrame, name: str, chosen: DataFrame | None = None, flags: DataFrame | None = None, codes: list[int] | None = None, where: str | None = None) -> DataFrame:
+    """Files a report covers: a row-wise scope, the ``selected`` ones (ids of ``chosen``) or those with any of some ``flags``.
+
+    ``chosen`` has id; ``flags`` has file_id, one row for each flag asked for that a file bears. An unknown
+    scope, and one whose table is missing, is an error: a report must not widen to everything.
+    """
+    if name == "selected" and chosen is not None:
+        return files.join(chosen.select("id").distinct(), "id", "left_semi")
+    if name == "flags" and flags is not None:
+        return files.join(flags.select(F.col("file_id").alias("id")).distinct(), "id", "left_semi")
+    return files.where(scope(name, codes, where))
 
 
 def day_bounds(day_from: str, day_to: str, zone: str) -> tuple[Column, Column]:

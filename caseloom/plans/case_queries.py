@@ -39,9 +39,19 @@ pm AS (SELECT * FROM ph WHERE bit_count(h) BETWEEN 12 AND 52)
 """
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
-    """The files relation; exact repeats of a row count once."""
-    return table(spark, folder, "files").dropDuplicates(["id"])
+def files(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The files relation, or some of its columns beside the id; exact repeats of a row count once.
+
+    Conditions on the result move below the step that drops repeats and so reach the scan; naming the columns
+    keeps that step as narrow as the query. Operators that do not mind repeats take ``raw_files`` instead.
+    """
+    rows = raw_files(spark, folder)
+    return (rows.select("id", *[c for c in columns if c != "id"]) if columns else rows).distinct()
+
+
+def raw_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files relation as stored: exact repeats of a row may occur."""
+    return table(spark, folder, "files")
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +61,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 def entries(spark: SparkSession, folder: str) -> DataFrame:
     """Hash-set entries, a stand-in for lists the tables do not have: the digests of categorized files, a set per source."""
     digests = F.explode(F.array(*[F.struct(F.lit(a).alias("algo"), hex_digits(F.col(a), n).alias("value")) for a, n in (("md5", 32), ("sha1", 40), ("sha256", 64))]))
-    rows = files(spark, folder).where(F.col("category").isNotNull() & (F.col("category") != schema.UNCATEGORIZED) & F.col("source").isNotNull()).select(
+    rows = files(spark, folder, "source", "origin", "category", "kind", "md5", "sha1", "sha256").where(F.col("category").isNotNull() & (F.col("category") != schema.UNCATEGORIZED) & F.col("source").isNotNull()).select(
         F.col("source").alias("set_name"), F.when(F.col("origin") == "walk", "case").when(F.col("origin") == "deleted", "stash").otherwise("global").alias("store"),
         F.when(F.col("category") == 0, "known-good").otherwise("known").alias("kind"), (F.col("kind") == "image").alias("vic"), "category", digests.alias("x"),
     )
@@ -60,7 +70,7 @@ def entries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, folder: str) -> DataFrame:
-    return matching.match_known(files(spark, folder), entries(spark, folder))
+    return matching.match_known(files(spark, folder, *matching.ALGORITHM_RANK), entries(spark, folder))
 
 
 def query(sql: str | None = None):
@@ -77,7 +87,7 @@ def gallery_query(name: str, q: FileQuery, where: str, columns: tuple[str, ...]
     """Register one gallery request with the WHERE clause it stands for."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return gallery.matching_files(files(spark, folder), q).select(*columns)
+        return gallery.matching_files(raw_files(spark, folder), q).select(*columns).distinct()
 
     run.__name__ = name
     QUERIES[name] = run
@@ -127,91 +137,90 @@ gallery_query("f34_language_text", FileQuery(columns=gallery.parse_column_filter
 
 @query("SELECT count(*) AS total FROM (SELECT min(id) FROM f WHERE kind <> 'archive' AND size >= 200000 GROUP BY coalesce(vstack_id, stack_id, id))")
 def t03_collapsed_count(spark, folder):
-    return gallery.count(files(spark, folder), FileQuery(collapse=True, min_size=200_000))
+    return gallery.count(raw_files(spark, folder), FileQuery(collapse=True, min_size=200_000))
 
 
 @query("""SELECT f.id, f.size, f.kind, coalesce((SELECT count(*) FROM f g WHERE g.stack_id = f.stack_id), 0) AS stack_size FROM f
 WHERE id IN (SELECT min(id) FROM f WHERE kind = 'image' AND size >= 50000 GROUP BY coalesce(vstack_id, stack_id, id)) ORDER BY size DESC, id DESC LIMIT 200""")
 def gallery_collapsed(spark, folder):
     """The flagship: filter, one representative per group among the matches, sort, page, group sizes."""
-    base = files(spark, folder)
-    rows = gallery.page(base, FileQuery(kind="image", min_size=50_000, collapse=True, sort="size", descending=True, limit=200))
-    sized = gallery.with_group_sizes(rows, base)
+    base = raw_files(spark, folder)
+    rows = gallery.page(base, FileQuery(kind="image", min_size=50_000, collapse=True, sort="size", descending=True, limit=200), ["id", "size", "kind", "stack_id"])
+    sized = gallery.with_group_sizes(rows, base, ("stack_id",))
     return sized.select("id", "size", "kind", F.when(F.col("stack_id").isNull(), F.lit(0).cast("long")).otherwise(F.col("stack_size")).alias("stack_size"))
 
 
 @query("SELECT id, rel_path FROM f WHERE kind <> 'archive' ORDER BY rel_path ASC NULLS FIRST, id ASC LIMIT 500")
 def t01_default_sort_page(spark, folder):
-    return gallery.page(files(spark, folder), FileQuery()).select("id", "rel_path")
+    return gallery.page(raw_files(spark, folder), FileQuery(), ["id", "rel_path"])
 
 
 @query("SELECT id, created_dt FROM f WHERE kind <> 'archive' ORDER BY created_dt DESC NULLS LAST, id DESC LIMIT 300 OFFSET 100")
 def t02_named_sort_offset(spark, folder):
-    return gallery.page(files(spark, folder), FileQuery(sort="created_dt", descending=True, limit=300, offset=100)).select("id", "created_dt")
+    return gallery.page(raw_files(spark, folder), FileQuery(sort="created_dt", descending=True, limit=300, offset=100), ["id", "created_dt"])
 
 
 @query("SELECT id, created_dt FROM f WHERE kind <> 'archive' ORDER BY created_dt ASC NULLS FIRST, id ASC LIMIT 250 OFFSET 1400")
 def t02_short_name_sort(spark, folder):
-    return gallery.page(files(spark, folder), FileQuery(sort="date", descending=True, limit=250, offset=1400)).select("id", "created_dt")
+    return gallery.page(raw_files(spark, folder), FileQuery(sort="date", descending=True, limit=250, offset=1400), ["id", "created_dt"])
 
 
 @query("SELECT id, coalesce(nullif(orig_name, ''), CASE WHEN media_id IS NULL THEN rel_path END) AS name FROM f WHERE kind <> 'archive' ORDER BY name ASC NULLS FIRST, id ASC LIMIT 400")
 def t01_virtual_name_sort(spark, folder):
-    rows = gallery.page(files(spark, folder), FileQuery(sort="name", limit=400))
-    return rows.select("id", S.display_name(F.col("orig_name"), F.col("rel_path"), F.col("media_id")).alias("name"))
+    return gallery.page(raw_files(spark, folder), FileQuery(sort="name", limit=400), ["id", gallery.shown_name().alias("name")])
 
 
 @query("SELECT id, coalesce(vstack_id, stack_id, id) AS grp, CASE WHEN id = min(id) OVER (PARTITION BY coalesce(vstack_id, stack_id, id)) THEN 1 ELSE 0 END AS grp_head FROM f")
 def w02_group_heads(spark, folder):
-    return gallery.group_heads(files(spark, folder))
+    return gallery.group_heads(files(spark, folder, "stack_id", "vstack_id"))
 
 
 @query("SELECT id, container_id FROM f WHERE container_id IN (SELECT id FROM f WHERE lower(ext) IN ('.zip', '.tar', '.gz', '.7z'))")
 def f07_from_archives(spark, folder):
-    return gallery.container_members(files(spark, folder), (".zip", ".tar", ".gz", ".7z")).select("id", "container_id")
+    return gallery.container_members(files(spark, folder, "container_id", "ext"), (".zip", ".tar", ".gz", ".7z")).select("id", "container_id")
 
 
 @query("SELECT id FROM f WHERE category IS NOT NULL AND category <> 5")
 def f25_scope_categorized(spark, folder):
-    return files(spark, folder).where(gallery.scope("categorized")).select("id")
+    return files(spark, folder, "category").where(gallery.scope("categorized")).select("id")
 
 
 @query("SELECT id FROM f WHERE category IS NULL OR category = 5")
 def f25_scope_uncategorized(spark, folder):
-    return files(spark, folder).where(gallery.scope("uncategorized")).select("id")
+    return files(spark, folder, "category").where(gallery.scope("uncategorized")).select("id")
 
 
 @query("SELECT id FROM f WHERE size > 100 AND kind = 'image'")
 def f25_scope_where(spark, folder):
-    return files(spark, folder).where(gallery.scope("where", where="size > 100 AND kind = 'image'")).select("id")
+    return files(spark, folder, "kind", "size").where(gallery.scope("where", where="size > 100 AND kind = 'image'")).select("id")
 
 
 @query("SELECT id, bit_count(h)::INTEGER AS bits FROM pm")
 def f28_meaningful_hash(spark, folder):
     h = hex_to_long(hex_digits(F.col("phash"), 16))
-    return files(spark, folder).select("id", h.alias("h")).where(S.meaningful_hash(F.col("h"))).select("id", F.bit_count("h").alias("bits"))
+    return files(spark, folder, "phash").select("id", h.alias("h")).where(S.meaningful_hash(F.col("h"))).select("id", F.bit_count("h").alias("bits"))
 
 
 @query("SELECT id, round(gps_lat, 7) AS lat, round(gps_lon, 7) AS lon FROM f WHERE gps_lat BETWEEN -90 AND 90 AND gps_lon BETWEEN -180 AND 180 AND NOT isnan(gps_lat) AND NOT isnan(gps_lon) AND NOT (gps_lat = 0 AND gps_lon = 0)")
 def f29_valid_coordinates(spark, folder):
     c = S.valid_coordinates(F.col("gps_lat"), F.col("gps_lon"))
-    return files(spark, folder).select("id", c.alias("c")).where(F.col("c").isNotNull()).select("id", "c.lat", "c.lon")
+    return files(spark, folder, "gps_lat", "gps_lon").select("id", c.alias("c")).where(F.col("c").isNotNull()).select("id", "c.lat", "c.lon")
 
 
 @query("SELECT id FROM f WHERE mtime >= epoch(TIMESTAMP '2019-03-10 05:00:00') AND mtime < epoch(TIMESTAMP '2019-03-13 04:00:00')")
 def f35_local_day_bounds(spark, folder):
     lo, hi = gallery.day_bounds("2019-03-10", "2019-03-12", "America/New_York")
-    return files(spark, folder).where((F.col("mtime") >= lo) & (F.col("mtime") < hi)).select("id")
+    return files(spark, folder, "mtime").where((F.col("mtime") >= lo) & (F.col("mtime") < hi)).select("id")
 
 
 # --- stacks, clusters, components ---------------------------------------------------------------------
 @query("SELECT id, min(id) OVER (PARTITION BY coalesce(nullif(sha256, ''), 'md5:' || nullif(md5, ''))) AS stack_id FROM f WHERE coalesce(nullif(sha256, ''), nullif(md5, '')) IS NOT NULL UNION ALL SELECT id, NULL FROM f WHERE coalesce(nullif(sha256, ''), nullif(md5, '')) IS NULL")
 def w01_exact_stacks(spark, folder):
-    return dedupe.exact_stacks(files(spark, folder))
+    return dedupe.exact_stacks(files(spark, folder, "md5", "sha256"))
 
 
 def _stacked(spark, folder):
-    base = files(spark, folder).drop("stack_id", "vstack_id", "cluster_id")
+    base = files(spark, folder, "md5", "sha256", "phash", "dhash")
     return base.join(dedupe.exact_stacks(base), "id")
 
 
@@ -268,7 +277,7 @@ def j01_known_hashes(spark, folder):
 FROM ph p JOIN (SELECT DISTINCT source AS set_name, lower(trim(phash)) AS value, ('0x' || lower(trim(phash)))::UBIGINT AS h FROM f WHERE category IN (1, 2) AND source IS NOT NULL AND regexp_full_match(lower(trim(phash)), '[0-9a-f]{16}')) l
 ON bit_count(xor(p.h, l.h)) <= 6 WHERE p.id NOT IN (SELECT id FROM hits) GROUP BY p.id""")
 def j02_perceptual_fallback(spark, folder):
-    base = files(spark, folder)
+    base = files(spark, folder, "category", "phash", "source", "dhash")
     # The listed hashes are a stand-in set: the perceptual hashes of notable files.
     listed = base.where(F.col("category").isin(1, 2) & F.col("source").isNotNull()).select(F.col("source").alias("set_name"), hex_digits(F.col("phash"), 16).alias("value")).where(F.col("value").isNotNull())
     return matching.match_perceptual(base, listed, _hits(spark, folder))
@@ -285,7 +294,7 @@ string_agg(set_name, ',' ORDER BY CASE bit WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 4 TH
 SELECT f.id, CASE WHEN (f.category IS NULL OR f.category = 5) AND s.asserted IS NOT NULL THEN s.asserted WHEN (f.category IS NULL OR f.category = 5) AND s.mask = 8 THEN 0 ELSE f.category END AS category,
 coalesce(s.mask, 0) AS hashset_mask, coalesce(s.sets, '') AS sets FROM f LEFT JOIN s ON s.id = f.id""")
 def m08_rematch(spark, folder):
-    return matching.rematch(files(spark, folder), _hits(spark, folder))
+    return matching.rematch(files(spark, folder, "category"), _hits(spark, folder))
 
 
 @query("SELECT id, set_name, bit FROM bits WHERE bit <> 2")
@@ -301,23 +310,23 @@ def f15_both_sources(spark, folder):
 
 @query("SELECT DISTINCT f.id FROM f JOIN hits ON hits.id = f.id WHERE hits.set_name = 'nas_a'")
 def f16_one_set(spark, folder):
-    return files(spark, folder).join(_hits(spark, folder).where(F.col("set_name") == "nas_a").select("id"), "id", "left_semi").select("id")
+    return files(spark, folder, "id").join(_hits(spark, folder).where(F.col("set_name") == "nas_a").select("id"), "id", "left_semi").select("id")
 
 
 @query("SELECT id FROM f WHERE id NOT IN (SELECT id FROM hits WHERE kind = 'known-good')")
 def f17_hide_known_good(spark, folder):
-    return files(spark, folder).join(_hits(spark, folder).where(F.col("kind") == "known-good").select("id"), "id", "left_anti").select("id")
+    return files(spark, folder, "id").join(_hits(spark, folder).where(F.col("kind") == "known-good").select("id"), "id", "left_anti").select("id")
 
 
 @query("SELECT e.set_name, count(DISTINCT (e.algo, e.value)) AS entries, coalesce(any_value(m.matched), 0) AS matched FROM entries e LEFT JOIN (SELECT set_name, count(DISTINCT id) AS matched FROM hits GROUP BY 1) m ON m.set_name = e.set_name GROUP BY e.set_name")
 def g07_set_list(spark, folder):
     e = entries(spark, folder)
-    return matching.set_summary(e, matching.match_known(files(spark, folder), e))
+    return matching.set_summary(e, matching.match_known(files(spark, folder, "md5", "sha1", "sha256"), e))
 
 
 @query("SELECT lower(trim(md5)) AS md5, min(category) AS category FROM f WHERE category IN (1, 2) AND regexp_full_match(lower(trim(md5)), '[0-9a-f]{32}') AND lower(trim(md5)) <> 'd41d8cd98f00b204e9800998ecf8427e' GROUP BY 1")
 def f27_stash_candidates(spark, folder):
-    return matching.stash_candidates(files(spark, folder))
+    return matching.stash_candidates(files(spark, folder, "category", "md5"))
 
 
 @query("""SELECT md5, region, min(category) AS category, arg_min(added_at, (n, added_at, source)) AS added_at, arg_min(source, (n, added_at, source)) AS source FROM (
@@ -325,7 +334,7 @@ SELECT lower(trim(md5)) AS md5, 'US' AS region, category, media_id AS added_at,
 WHERE regexp_full_match(md5, '[0-9a-f]{32}') AND md5 <> 'd41d8cd98f00b204e9800998ecf8427e' AND source IS NOT NULL GROUP BY 1, 2""")
 def m07_stash_merge(spark, folder):
     old = records(spark, folder).where(F.col("category").isNotNull() & F.col("source").isNotNull()).select("md5", F.lit("US").alias("region"), "category", F.col("media_id").alias("added_at"), "source")
-    new = files(spark, folder).where(F.col("category").isin(1, 2) & F.col("source").isNotNull()).select("md5", F.lit("US").alias("region"), "category", F.col("id").alias("added_at"), "source")
+    new = files(spark, folder, "category", "md5", "source").where(F.col("category").isin(1, 2) & F.col("source").isNotNull()).select("md5", F.lit("US").alias("region"), "category", F.col("id").alias("added_at"), "source")
     return matching.stash_merge(old, new)
 
 
@@ -345,7 +354,7 @@ def w04_first_record_wins(spark, folder):
 @query("""SELECT id, distance::INTEGER AS distance, round(100.0::DOUBLE * (1 - distance / 64.0::DOUBLE), 1) AS similarity FROM (SELECT a.id, bit_count(xor(a.h, p.h)) AS distance FROM pm a, (SELECT * FROM pm WHERE id = (SELECT min(id) FROM pm)) p
 WHERE bit_count(xor(a.h, p.h)) <= 24 AND (a.d IS NULL OR p.d IS NULL OR bit_count(xor(a.d, p.d)) <= 26)) ORDER BY id <> (SELECT min(id) FROM pm), distance, id LIMIT 200""")
 def x08_find_similar(spark, folder):
-    base = files(spark, folder)
+    base = files(spark, folder, "dhash", "phash")
     h = hex_to_long(hex_digits(F.col("phash"), 16))
     target = base.where(S.meaningful_hash(h)).agg(F.min("id").alias("m")).head()["m"]
     return search.find_similar(base, target, 24)
@@ -388,13 +397,13 @@ def x11_word_overlap(spark, folder):
 
 @query("SELECT id, min_by(engine, rank) AS engine FROM (SELECT id, 0 AS rank, 'exact' AS engine FROM f WHERE stack_id IS NOT NULL UNION ALL SELECT id, 1, 'visual' FROM f WHERE vstack_id IS NOT NULL UNION ALL SELECT id, 2, 'near' FROM f WHERE cluster_id IS NOT NULL) GROUP BY id")
 def x14_merged_search(spark, folder):
-    base = files(spark, folder)
+    base = files(spark, folder, "cluster_id", "stack_id", "vstack_id")
     return search.merged_search(*[(n, base.where(F.col(c).isNotNull()).select("id")) for n, c in (("exact", "stack_id"), ("visual", "vstack_id"), ("near", "cluster_id"))])
 
 
 @query("SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM pm a JOIN pm b ON b.id = a.id + 1")
 def x07_hamming(spark, folder):
-    h = files(spark, folder).select("id", hex_to_long(hex_digits(F.col("phash"), 16)).alias("h")).where(S.meaningful_hash(F.col("h")))
+    h = files(spark, folder, "phash").select("id", hex_to_long(hex_digits(F.col("phash"), 16)).alias("h")).where(S.meaningful_hash(F.col("h")))
     other = h.select((F.col("id") - 1).alias("id"), F.col("id").alias("b"), F.col("h").alias("hb"))
     return h.join(other, "id").select(F.col("id").alias("a"), "b", S.hamming(F.col("h"), F.col("hb")).alias("distance"))
 
@@ -404,38 +413,38 @@ def x07_hamming(spark, folder):
 count(*) FILTER (category IS NOT NULL AND category <> 5) AS categorized, count(*) FILTER (coalesce(vstack_id, stack_id, id) <> id) AS collapsed, count(DISTINCT stack_id) AS stacks, count(DISTINCT vstack_id) AS vstacks,
 count(DISTINCT cluster_id) AS clusters, count(*) FILTER (stack_id IS NOT NULL AND stack_id <> id) AS redundant FROM f""")
 def g01_case_stats(spark, folder):
-    return stats.case_stats(files(spark, folder))
+    return stats.case_stats(files(spark, folder, "category", "cluster_id", "kind", "stack_id", "vstack_id"))
 
 
 @query("SELECT coalesce(category, 5) AS category, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM f), 1) AS percent FROM f GROUP BY 1")
 def g13_category_share(spark, folder):
-    return stats.by_category_share(files(spark, folder))
+    return stats.by_category_share(files(spark, folder, "category"))
 
 
 @query("SELECT cluster_id, count(*) AS n FROM f WHERE cluster_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, cluster_id LIMIT 200")
 def g02_largest_clusters(spark, folder):
-    return stats.largest_clusters(files(spark, folder))
+    return stats.largest_clusters(files(spark, folder, "cluster_id"))
 
 
 @query("""SELECT count(*) FILTER (gps_lat IS NOT NULL AND gps_lon IS NOT NULL) AS with_gps, count(*) FILTER (kind = 'image' AND phash IS NULL) AS unhashed_images, count(*) FILTER (kind = 'video' AND duration IS NULL) AS unread_videos,
 count(*) FILTER (kind = 'archive') AS archives, count(*) FILTER (size = 0) AS empty_files, count(DISTINCT source) AS sources FROM f""")
 def g02_screening_totals(spark, folder):
-    return stats.screening_totals(files(spark, folder))
+    return stats.screening_totals(files(spark, folder, "duration", "gps_lat", "gps_lon", "kind", "phash", "size", "source"))
 
 
 @query("SELECT source, count(*) AS n, count(*) FILTER (origin = 'walk') AS walk, count(*) FILTER (origin = 'deleted') AS deleted, count(*) FILTER (origin = 'carve') AS carve, count(*) FILTER (origin IS NULL) AS unknown FROM f GROUP BY source")
 def g10_origin_counts(spark, folder):
-    return stats.origin_counts(files(spark, folder))
+    return stats.origin_counts(files(spark, folder, "origin", "source"))
 
 
 @query("SELECT count(*) AS archives, count(*) FILTER (k.kids > 0) AS opened, coalesce(sum(k.kids), 0)::BIGINT AS items, coalesce(max(k.kids), 0) AS most FROM f LEFT JOIN (SELECT container_id, count(*) AS kids FROM f WHERE container_id IS NOT NULL GROUP BY 1) k ON k.container_id = f.id WHERE f.kind = 'archive'")
 def g03_container_census(spark, folder):
-    return containers.container_census(files(spark, folder))
+    return containers.container_census(files(spark, folder, "container_id", "kind"))
 
 
 @query("SELECT container_id, count(*) AS n, count(*) FILTER (kind = 'image') AS n_image, count(*) FILTER (kind = 'video') AS n_video, count(*) FILTER (kind = 'other') AS n_other, count(*) FILTER (kind = 'archive') AS n_archive FROM f WHERE container_id IS NOT NULL GROUP BY 1")
 def g06_member_counts(spark, folder):
-    return containers.member_counts(files(spark, folder))
+    return containers.member_counts(files(spark, folder, "container_id", "kind"))
 
 
 @query("""SELECT coalesce(c.status, 'unread') AS status, coalesce(c.ai, '') AS ai, count(*) AS n FROM f LEFT JOIN (SELECT media_id AS id, min(CASE category WHEN 4 THEN 'c2pa' WHEN 0 THEN 'xmp' ELSE 'none' END) AS status,
@@ -443,7 +452,7 @@ min(CASE mime WHEN 'image/png' THEN 'yes' WHEN 'image/jpeg' THEN 'no' END) AS ai
 def g04_credentials_census(spark, folder):
     m = F.col("media_id")
     c = records(spark, folder).groupBy(m.alias("id")).agg(F.min(F.when(F.col("category") == 4, "c2pa").when(F.col("category") == 0, "xmp").otherwise("none")).alias("status"), F.min(F.when(F.col("mime") == "image/png", "yes").when(F.col("mime") == "image/jpeg", "no")).alias("ai"))
-    return stats.credentials_census(files(spark, folder), c)
+    return stats.credentials_census(files(spark, folder, "kind"), c)
 
 
 @query("SELECT user_id AS id, CASE WHEN coalesce(bool_or(value > 150), false) THEN 'yes' WHEN coalesce(bool_or(NOT value > 150), false) THEN 'no' WHEN bool_or(true) THEN 'unknown' END AS ai FROM events GROUP BY 1")

@@ -26,7 +26,7 @@ def _credentials(spark, folder) -> DataFrame:
 
 @query("SELECT id FROM f WHERE kind = 'archive' AND (lower(ext) IN ('.pdf','.html','.htm','.xhtml','.mht','.mhtml','.webarchive') OR (coalesce(ext, '') = '' AND id IN (SELECT container_id FROM f WHERE regexp_matches(orig_name, '^(?i:p.{4}_obj|unused_obj|attachment_obj)'))))")
 def f04_document_containers(spark, folder):
-    base = files(spark, folder)
+    base = files(spark, folder, "container_id", "ext", "kind", "orig_name")
     named = base.where(F.col("orig_name").rlike("^(?i)(p.{4}_obj|unused_obj|attachment_obj)") & F.col("container_id").isNotNull()).select(F.col("container_id").alias("id")).distinct().withColumn("_doc", F.lit(True))
     boxes = base.where(F.col("kind") == "archive").join(named, "id", "left")
     return boxes.where(F.lower("ext").isin(*schema.DOCUMENT_EXTS) | ((F.coalesce("ext", F.lit("")) == "") & F.coalesce("_doc", F.lit(False)))).select("id")
@@ -34,22 +34,22 @@ def f04_document_containers(spark, folder):
 
 @query(", " + _CRED + " SELECT f.id FROM f JOIN c USING (id) WHERE kind <> 'archive' AND status IN ('c2pa', 'xmp')")
 def f10_declared_credentials(spark, folder):
-    return files(spark, folder).where("kind <> 'archive'").join(_credentials(spark, folder).where(F.col("status").isin("c2pa", "xmp")), "id", "left_semi").select("id")
+    return files(spark, folder, "kind").where("kind <> 'archive'").join(_credentials(spark, folder).where(F.col("status").isin("c2pa", "xmp")), "id", "left_semi").select("id")
 
 
 @query(", " + _CRED + " SELECT f.id FROM f WHERE kind IN ('image', 'video') AND id NOT IN (SELECT id FROM c)")
 def f10_unread_credentials(spark, folder):
-    return files(spark, folder).where(F.col("kind").isin("image", "video")).join(_credentials(spark, folder), "id", "left_anti").select("id")
+    return files(spark, folder, "kind").where(F.col("kind").isin("image", "video")).join(_credentials(spark, folder), "id", "left_anti").select("id")
 
 
 @query(", " + _CRED + " SELECT f.id FROM f JOIN c USING (id) WHERE kind <> 'archive' AND ai = 'yes'")
 def f11_ai_reading(spark, folder):
-    return files(spark, folder).where("kind <> 'archive'").join(_credentials(spark, folder).where("ai = 'yes'"), "id", "left_semi").select("id")
+    return files(spark, folder, "kind").where("kind <> 'archive'").join(_credentials(spark, folder).where("ai = 'yes'"), "id", "left_semi").select("id")
 
 
 @query("SELECT id FROM f WHERE kind <> 'archive' AND id IN (SELECT id FROM hits)")
 def f13_any_hit(spark, folder):
-    return files(spark, folder).where("kind <> 'archive'").join(_hits(spark, folder).select("id"), "id", "left_semi").select("id")
+    return files(spark, folder, "kind").where("kind <> 'archive'").join(_hits(spark, folder).select("id"), "id", "left_semi").select("id")
 
 
 @query("SELECT DISTINCT id FROM hits WHERE store = 'case' AND kind = 'known'")
@@ -60,7 +60,7 @@ def f14_case_set_hit(spark, folder):
 @query("SELECT id, 'cannot decode' AS error FROM f WHERE size <> 0 AND kind = 'image' AND phash IS NULL")
 def f26_retryable_errors(spark, folder):
     error = F.when(F.col("size") == 0, F.concat(F.lit("online-only cloud placeholder: "), F.col("size"))).when((F.col("kind") == "image") & F.col("phash").isNull(), "cannot decode")
-    rows = files(spark, folder).select("id", error.alias("error"))
+    rows = files(spark, folder, "kind", "phash", "size").select("id", error.alias("error"))
     return rows.where(F.col("error").isNotNull() & ~F.col("error").startswith("online-only cloud placeholder: "))
 
 
@@ -73,13 +73,13 @@ THEN 1 ELSE 0 END)::INTEGER AS artwork FROM f WHERE kind IN ('image', 'video') A
 def f30_indexable(spark, folder):
     low = F.lower("path")
     art = reduce(lambda a, p: a | low.like(p), _ARTWORK[1:], low.like(_ARTWORK[0]))
-    rows = files(spark, folder).where(F.col("kind").isin("image", "video") & (F.greatest(F.coalesce("width", F.lit(0)), F.coalesce("height", F.lit(0))) >= 128))
+    rows = files(spark, folder, "height", "kind", "path", "stack_id", "width").where(F.col("kind").isin("image", "video") & (F.greatest(F.coalesce("width", F.lit(0)), F.coalesce("height", F.lit(0))) >= 128))
     return rows.groupBy(F.coalesce("stack_id", "id").alias("g")).agg(F.min("id").alias("id"), F.min(F.when(art, 1).otherwise(0)).alias("artwork")).select("id", "artwork")
 
 
 @query("SELECT id, count(*) OVER (PARTITION BY stack_id) AS n FROM f WHERE stack_id IS NOT NULL")
 def g05_group_sizes(spark, folder):
-    base = files(spark, folder).where(F.col("stack_id").isNotNull())
+    base = files(spark, folder, "stack_id").where(F.col("stack_id").isNotNull())
     return base.join(base.groupBy("stack_id").agg(F.count(F.lit(1)).alias("n")), "stack_id").select("id", "n")
 
 
@@ -93,17 +93,17 @@ def g09_case_summary(spark, folder):
 
 @query("SELECT id, source, path, size, md5 FROM f WHERE kind <> 'archive'")
 def k09_media_files(spark, folder):
-    return files(spark, folder).where("kind <> 'archive'").select("id", "source", "path", "size", "md5")
+    return files(spark, folder, "kind", "md5", "path", "size", "source").where("kind <> 'archive'").select("id", "source", "path", "size", "md5")
 
 
 @query("SELECT id, coalesce(origin, '') AS origin, category FROM f WHERE kind <> 'archive' AND category IS NOT NULL AND category <> 5")
 def k11_categorized_media(spark, folder):
-    return files(spark, folder).where("kind <> 'archive' AND category IS NOT NULL AND category <> 5").select("id", F.coalesce("origin", F.lit("")).alias("origin"), "category")
+    return files(spark, folder, "category", "kind", "origin").where("kind <> 'archive' AND category IS NOT NULL AND category <> 5").select("id", F.coalesce("origin", F.lit("")).alias("origin"), "category")
 
 
-@query("SELECT id, gps_lat, gps_lon FROM f WHERE kind <> 'archive' AND gps_lat IS NOT NULL AND gps_lon IS NOT NULL")
+@query("SELECT id, rel_path, round(gps_lat, 7) AS lat, round(gps_lon, 7) AS lon FROM f WHERE kind <> 'archive' AND gps_lat BETWEEN -90 AND 90 AND gps_lon BETWEEN -180 AND 180 AND NOT isnan(gps_lat) AND NOT isnan(gps_lon) AND NOT (gps_lat = 0 AND gps_lon = 0)")
 def k12_media_locations(spark, folder):
-    return files(spark, folder).where("kind <> 'archive' AND gps_lat IS NOT NULL AND gps_lon IS NOT NULL").select("id", "gps_lat", "gps_lon")
+    return reports.location_points(files(spark, folder, "kind", "rel_path", "gps_lat", "gps_lon").where("kind <> 'archive'"))
 
 
 @query("SELECT e.set_name, e.store, count(DISTINCT (e.algo, e.value)) AS entries, coalesce(any_value(h.n), 0) AS matched FROM entries e LEFT JOIN (SELECT set_name, store, count(DISTINCT id) AS n FROM hits GROUP BY 1, 2) h ON h.set_name = e.set_name AND h.store = e.store GROUP BY 1, 2")
@@ -116,7 +116,7 @@ def k15_known_sets(spark, folder):
 
 @query("SELECT h.id, h.set_name, h.algo AS via, f.path FROM hits h JOIN f ON f.id = h.id WHERE f.kind <> 'archive'")
 def k20_hash_set_hits(spark, folder):
-    return _hits(spark, folder).join(files(spark, folder).where("kind <> 'archive'").select("id", "path"), "id").select("id", "set_name", F.col("algo").alias("via"), "path")
+    return _hits(spark, folder).join(files(spark, folder, "kind", "path").where("kind <> 'archive'").select("id", "path"), "id").select("id", "set_name", F.col("algo").alias("via"), "path")
 
 
 @query("SELECT r.media_id, r.md5, e.name AS first_property FROM r LEFT JOIN (SELECT media_id, arg_min(name, (hashset_id, seq, name)) AS name FROM (SELECT DISTINCT x.hashset_id, x.media_id, x.seq, n.name FROM vic_media_exif x JOIN vic_exif_names n ON n.id = x.name_id WHERE x.media_id <> 0) GROUP BY 1) e ON e.media_id = r.media_id")
@@ -129,8 +129,8 @@ def j03_record_details(spark, folder):
 @query("SELECT f.container_id, count(*) AS n FROM f LEFT JOIN f g ON g.id = f.id AND g.origin IS DISTINCT FROM 'carve' WHERE f.container_id IS NOT NULL AND (g.id IS NULL OR g.size <> f.size + CASE WHEN f.kind = 'other' THEN 1 ELSE 0 END) GROUP BY 1")
 def j12_archive_mismatches(spark, folder):
     """Members of an archive found missing or changed against what was recorded."""
-    base = files(spark, folder).where(F.col("container_id").isNotNull()).select("id", "container_id", (F.col("size") + F.when(F.col("kind") == "other", 1).otherwise(0)).alias("size"))
-    found = files(spark, folder).where(~F.col("origin").eqNullSafe("carve")).select("id", F.col("size").alias("now"))
+    base = files(spark, folder, "container_id", "kind", "origin", "size").where(F.col("container_id").isNotNull()).select("id", "container_id", (F.col("size") + F.when(F.col("kind") == "other", 1).otherwise(0)).alias("size"))
+    found = files(spark, folder, "container_id", "kind", "origin", "size").where(~F.col("origin").eqNullSafe("carve")).select("id", F.col("size").alias("now"))
     bad = base.join(found, "id", "left").where(F.col("now").isNull() | (F.col("now") != F.col("size")))
     return bad.groupBy("container_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -166,7 +166,7 @@ def marker_clusters(points: DataFrame, pixels: float, zoom: int) -> DataFrame:
 
 @query()
 def x15_marker_clusters(spark, folder):
-    return marker_clusters(reports.location_points(files(spark, folder)).where(F.abs("lat") < 85), 7.0, 6)
+    return marker_clusters(reports.location_points(files(spark, folder, "rel_path", "gps_lat", "gps_lon")).where(F.abs("lat") < 85), 7.0, 6)
 
 
 SQL["x15_marker_clusters"] = _WITH.replace("WITH f", "WITH RECURSIVE f", 1) + """, p AS (SELECT id, (round(gps_lon, 7) + 180.0) / 360.0 * 16384.0 AS x, (0.5 - ln((1 + sin(radians(round(gps_lat, 7)))) / (1 - sin(radians(round(gps_lat, 7))))) / (4 * pi())) * 16384.0 AS y FROM f
@@ -213,7 +213,7 @@ def c27_triage_labels(spark, folder):
 
 @query("SELECT id, lower(hex(encode(substr(ext, 2, 16)))) AS bytes FROM f")
 def c28_hex_slice(spark, folder):
-    return files(spark, folder).select("id", D.hex_slice(F.encode("ext", "UTF-8"), 1, 4).alias("bytes"))
+    return files(spark, folder, "ext").select("id", D.hex_slice(F.encode("ext", "UTF-8"), 1, 4).alias("bytes"))
 
 
 @query("""SELECT * FROM (VALUES ('p0003_obj00012.jpg', '.pdf', 'page 3'), ('unused_obj00012_rebuilt.png', '', 'an image no page draws'), ('attachment_obj00001_a.jpg', '.PDF', 'attached file (a.jpg)'), ('data_uri_0001.png', '.html', 'embedded in the page (data: URI)'),

@@ -17,47 +17,47 @@ _LABEL = "CASE coalesce(category, 5) " + " ".join(f"WHEN {k} THEN '{v}'" for k,
 CASE WHEN coalesce(duration, 0) = 0 THEN '' ELSE (floor(duration)::BIGINT // 60) || ':' || lpad((floor(duration)::BIGINT % 60)::VARCHAR, 2, '0') END AS duration_text,
 CASE WHEN mtime IS NULL OR mtime = 0 THEN '' ELSE strftime(make_timestamp((floor(mtime) * 1000000)::BIGINT), '%Y-%m-%d %H:%M:%S') END AS modified, {_LABEL} AS category_label, md5, coalesce(origin, '') AS origin FROM f WHERE kind IN ('image', 'video') AND size > 1000""")
 def k01_report_rows(spark, folder):
-    return reports.report_rows(files(spark, folder), "size > 1000")
+    return reports.report_rows(files(spark, folder, "category", "duration", "kind", "md5", "mtime", "origin", "rel_path", "size", "source"), "size > 1000")
 
 
 @query("SELECT DISTINCT md5 FROM f WHERE kind <> 'archive' AND md5 IS NOT NULL AND md5 <> ''")
 def k04_md5_list(spark, folder):
-    return reports.md5_list(files(spark, folder))
+    return reports.md5_list(files(spark, folder, "kind", "md5"))
 
 
 @query("SELECT id, rel_path, round(gps_lat, 7) AS lat, round(gps_lon, 7) AS lon FROM f WHERE gps_lat BETWEEN -90 AND 90 AND gps_lon BETWEEN -180 AND 180 AND NOT isnan(gps_lat) AND NOT isnan(gps_lon) AND NOT (gps_lat = 0 AND gps_lon = 0)")
 def k05_location_points(spark, folder):
-    return reports.location_points(files(spark, folder))
+    return reports.location_points(files(spark, folder, "gps_lat", "gps_lon", "rel_path"))
 
 
 @query("SELECT r.media_id, r.md5, CASE WHEN c <> 5 THEN c END AS category FROM (SELECT r.media_id, r.md5, CASE WHEN a.media_id IS NOT NULL THEN a.category ELSE b.category END AS c FROM r LEFT JOIN (SELECT media_id, arg_min_null(category, id) AS category FROM f WHERE media_id IS NOT NULL GROUP BY 1) a ON a.media_id = r.media_id LEFT JOIN (SELECT md5, arg_min_null(category, id) AS category FROM f WHERE md5 IS NOT NULL GROUP BY 1) b ON b.md5 = r.md5) r")
 def k06_round_trip(spark, folder):
-    return reports.round_trip(records(spark, folder).select("media_id", "md5"), files(spark, folder))
+    return reports.round_trip(records(spark, folder).select("media_id", "md5"), files(spark, folder, "category", "md5", "media_id"))
 
 
 @query(f"SELECT coalesce(category, 5) AS code, {_LABEL} AS label, kind, count(*) AS n, CASE WHEN coalesce(category, 5) = 5 THEN 1 ELSE 0 END AS last FROM f WHERE kind IN ('image', 'video') GROUP BY ALL")
 def k07_category_sections(spark, folder):
-    return reports.category_summary(files(spark, folder))
+    return reports.category_summary(files(spark, folder, "category", "kind"))
 
 
 @query("SELECT stack_id, count(*) AS copies, max(size) AS bytes_each, sum(size)::BIGINT AS bytes_total, array_to_string(list_sort(list(DISTINCT source)), ', ') AS sources FROM f WHERE stack_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def k16_duplicate_stacks(spark, folder):
-    return reports.duplicate_stacks(files(spark, folder))
+    return reports.duplicate_stacks(files(spark, folder, "size", "source", "stack_id"))
 
 
 @query("SELECT stack_id, id, path FROM f WHERE stack_id IN (SELECT stack_id FROM f GROUP BY 1 HAVING count(*) > 1)")
 def k16_duplicate_members(spark, folder):
-    return reports.duplicate_members(files(spark, folder))
+    return reports.duplicate_members(files(spark, folder, "path", "stack_id"))
 
 
 @query("SELECT vstack_id, count(*) AS files, count(DISTINCT md5) AS contents FROM f WHERE vstack_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def k17_visual_groups(spark, folder):
-    return reports.visual_groups(files(spark, folder))
+    return reports.visual_groups(files(spark, folder, "md5", "vstack_id"))
 
 
 @query("SELECT cluster_id, count(*) AS files, count(DISTINCT vstack_id) AS visual_groups FROM f WHERE cluster_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def k18_clusters(spark, folder):
-    return reports.cluster_rows(files(spark, folder))
+    return reports.cluster_rows(files(spark, folder, "cluster_id", "vstack_id"))
 
 
 @query("SELECT event_id AS id, ts, event_type AS action FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
@@ -68,22 +68,22 @@ def k21_audit_log(spark, folder):
 
 @query("SELECT CASE WHEN gps_lat IS NULL OR gps_lon IS NULL THEN 'no position' WHEN gps_lat BETWEEN -90 AND 90 AND gps_lon BETWEEN -180 AND 180 AND NOT isnan(gps_lat) AND NOT isnan(gps_lon) AND NOT (gps_lat = 0 AND gps_lon = 0) THEN 'mapped' ELSE 'unusable position' END AS reason, count(*) AS n FROM f WHERE kind IN ('image', 'video') GROUP BY 1")
 def k22_location_tally(spark, folder):
-    return reports.location_tally(files(spark, folder))
+    return reports.location_tally(files(spark, folder, "gps_lat", "gps_lon", "kind"))
 
 
 # --- containers ---------------------------------------------------------------------------------------
 @query("""SELECT root, id, min(depth)::INTEGER AS depth FROM walk GROUP BY root, id, depth""")
 def x16_descendants(spark, folder):
-    return containers.descendants(files(spark, folder))
+    return containers.descendants(files(spark, folder, "container_id"))
 
 
 SQL["x16_descendants"] = _WITH.replace("WITH f", "WITH RECURSIVE f", 1) + """, top AS (SELECT id FROM f WHERE container_id IS NULL AND id IN (SELECT container_id FROM f)),
-walk(root, id, depth) AS (SELECT t.id, f.id, 1 FROM top t JOIN f ON f.container_id = t.id UNION SELECT w.root, f.id, w.depth + 1 FROM walk w JOIN f ON f.container_id = w.id WHERE w.depth < 8) SELECT root, id, depth FROM walk"""
+walk(root, id, depth) AS (SELECT t.id, f.id, 1 FROM top t JOIN f ON f.container_id = t.id UNION SELECT w.root, f.id, w.depth + 1 FROM walk w JOIN f ON f.container_id = w.id) SELECT root, id, depth FROM walk"""
 
 
 @query("SELECT id FROM f WHERE kind = 'archive' AND (size & 3) <> 3 AND id NOT IN (SELECT container_id FROM f WHERE container_id IS NOT NULL)")
 def s17_unsettled_containers(spark, folder):
-    return containers.unsettled_containers(files(spark, folder).withColumn("expanded", F.col("size").bitwiseAND(F.lit(3)).cast("int")))
+    return containers.unsettled_containers(files(spark, folder, "container_id", "kind", "size").withColumn("expanded", F.col("size").bitwiseAND(F.lit(3)).cast("int")))
 
 
 def _extents(spark, folder):
@@ -116,13 +116,13 @@ def w08_contiguous_run(spark, folder):
 
 @query('SELECT source AS "case", path AS name FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ingested_at DESC NULLS LAST, path DESC) AS rn FROM f WHERE origin IS NOT NULL) WHERE rn > 20')
 def w05_prune_snapshots(spark, folder):
-    s = files(spark, folder).select(F.col("source").alias("case"), F.col("path").alias("name"), F.col("ingested_at").alias("taken_at"), F.col("origin").isNotNull().alias("automatic"))
+    s = files(spark, folder, "ingested_at", "origin", "path", "source").select(F.col("source").alias("case"), F.col("path").alias("name"), F.col("ingested_at").alias("taken_at"), F.col("origin").isNotNull().alias("automatic"))
     return containers.prune_snapshots(s)
 
 
 @query("SELECT source AS cache, path AS name FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY atime DESC NULLS LAST, path DESC ROWS UNBOUNDED PRECEDING) AS s FROM f) WHERE s > 5000000")
 def w06_cache_eviction(spark, folder):
-    e = files(spark, folder).select(F.col("source").alias("cache"), F.col("path").alias("name"), F.col("atime").alias("used_at"), "size")
+    e = files(spark, folder, "atime", "path", "size", "source").select(F.col("source").alias("cache"), F.col("path").alias("name"), F.col("atime").alias("used_at"), "size")
     return containers.evict_over_budget(e, 5_000_000)
 
 
@@ -134,12 +134,12 @@ def w07_middle_frame(spark, folder):
 
 @query("SELECT id, path, place FROM (SELECT id, path, row_number() OVER (ORDER BY path, id) - 1 AS place, count(*) OVER () AS n FROM f) WHERE place % greatest(1, n // 50) = 0")
 def w09_every_kth(spark, folder):
-    return gallery.nth_sample(files(spark, folder))
+    return gallery.nth_sample(files(spark, folder, "path"))
 
 
 def _views(spark, folder):
     """Member names as seen through two storage views of some sources."""
-    base = files(spark, folder).where(~F.col("rel_path").rlike("data|storage|sdcard|mnt")).select("source", "rel_path", "size", "kind", "origin")
+    base = files(spark, folder, "source", "rel_path", "size", "kind", "origin").where(~F.col("rel_path").rlike("data|storage|sdcard|mnt")).select("source", "rel_path", "size", "kind", "origin")
     one = base.where(F.col("kind") == "image").select("source", F.concat(F.lit("data/media/0/"), "rel_path").alias("name"), "size", F.lit(None).cast("long").alias("crc"))
     two = base.where(F.col("source") > "m").select("source", F.concat(F.lit("storage/emulated/0/"), "rel_path").alias("name"), (F.col("size") + F.when(F.col("origin") == "carve", 1).otherwise(0)).alias("size"), F.lit(None).cast("long").alias("crc"))
     return one.unionByName(two)
@@ -154,20 +154,20 @@ def j09_storage_views(spark, folder):
 
 @query("SELECT DISTINCT f.rel_path, CASE WHEN n.rel_path IS NULL THEN 'missing' ELSE 'size' END AS problem FROM f LEFT JOIN (SELECT rel_path, max(size) AS size FROM f WHERE origin IS DISTINCT FROM 'carve' GROUP BY 1) n ON n.rel_path = f.rel_path WHERE n.rel_path IS NULL OR n.size <> f.size")
 def j11_relink_problems(spark, folder):
-    base = files(spark, folder)
+    base = files(spark, folder, "origin", "rel_path", "size")
     listing = base.where(~F.col("origin").eqNullSafe("carve")).groupBy("rel_path").agg(F.max("size").alias("size"))
     return containers.relink_problems(base, listing)
 
 
 @query("SELECT source AS archive, min(string_split(rel_path, '/')[1]) AS wrapper FROM f GROUP BY source HAVING count(DISTINCT string_split(rel_path, '/')[1]) = 1 AND bool_and(contains(rel_path, '/')) AND min(string_split(rel_path, '/')[1]) NOT IN ('data', 'private', 'Users', 'storage')")
 def s10_wrapper_folder(spark, folder):
-    return containers.wrapper_folder(files(spark, folder).select(F.col("source").alias("archive"), F.col("rel_path").alias("name")))
+    return containers.wrapper_folder(files(spark, folder, "rel_path", "source").select(F.col("source").alias("archive"), F.col("rel_path").alias("name")))
 
 
 # --- sources ------------------------------------------------------------------------------------------
 @query("SELECT id, CASE WHEN lower(ext) IN ('.jpg','.heic','.webp','.gif','.png') THEN 'image' WHEN lower(ext) IN ('.mp4','.mov','.avi') THEN 'video' WHEN lower(ext) IN ('.zip','.tar','.7z') THEN 'archive' ELSE 'other' END AS by_ext FROM f")
 def s02_kind_by_extension(spark, folder):
-    return files(spark, folder).select("id", S.kind_by_extension(F.col("ext")).alias("by_ext"))
+    return files(spark, folder, "ext").select("id", S.kind_by_extension(F.col("ext")).alias("by_ext"))
 
 
 _MAGIC_ROWS = [(1, "FFD8FFE000104A46"), (2, "89504E470D0A1A0A0000000D"), (3, "0000001866747970686569630000"), (4, "00000020667479704D344120"), (5, "000000206674797069736F6D"), (6, "504B030414000000"), (7, "52494646AAAAAAAA57454250"), (8, "52494646AAAAAAAA41564920"), (9, "00051607"), (10, "")]
@@ -181,14 +181,14 @@ def s03_kind_by_magic(spark, folder):
 
 @query("SELECT id AS line, CASE WHEN trim(v) = '' AND category IS NULL THEN 'blank' WHEN NOT regexp_full_match(h, '[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}') THEN 'skipped' WHEN h = 'd41d8cd98f00b204e9800998ecf8427e' THEN 'empty' ELSE 'read' END AS status FROM (SELECT id, category, md5 AS v, lower(trim(md5)) AS h FROM f WHERE md5 IS NOT NULL)")
 def s23_hash_list_lines(spark, folder):
-    lines = files(spark, folder).where(F.col("md5").isNotNull()).select(F.col("id").alias("line"), F.concat_ws(",", "md5", F.col("category").cast("string")).alias("value"))
+    lines = files(spark, folder, "category", "md5").where(F.col("md5").isNotNull()).select(F.col("id").alias("line"), F.concat_ws(",", "md5", F.col("category").cast("string")).alias("value"))
     return hashlists.parse_lines(lines).select("line", "status")
 
 
 @query("""SELECT count(*) FILTER (s = 'read') AS read, count(*) FILTER (s = 'skipped') AS skipped, count(*) FILTER (s = 'empty') AS empty FROM (SELECT CASE WHEN trim(md5) = '' THEN 'blank' WHEN NOT regexp_full_match(lower(trim(md5)), '[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}') THEN 'skipped'
 WHEN lower(trim(md5)) = 'd41d8cd98f00b204e9800998ecf8427e' THEN 'empty' ELSE 'read' END AS s FROM f WHERE md5 IS NOT NULL)""")
 def g11_list_counts(spark, folder):
-    lines = files(spark, folder).where(F.col("md5").isNotNull()).select(F.col("id").alias("line"), F.col("md5").alias("value"))
+    lines = files(spark, folder, "md5").where(F.col("md5").isNotNull()).select(F.col("id").alias("line"), F.col("md5").alias("value"))
     return hashlists.list_counts(hashlists.parse_lines(lines))
 
 
@@ -206,7 +206,7 @@ def s27_import_media(spark, folder):
     return readers.import_media(m)
 
 
-@query("SELECT DISTINCT raw_id, nullif(regexp_extract(left(body, 200), '/[0-9.]+\\.xml/([A-Za-z-]+)/\\$metadata', 1), '') AS region FROM vic_raw WHERE body IS NOT NULL")
+@query(r"""SELECT DISTINCT raw_id, nullif(upper(regexp_extract(regexp_extract(body, '"@odata\.context"\s*:\s*"([^"]*)"', 1), '\.xml/([A-Za-z][A-Za-z-]*)/\$metadata', 1)), '') AS region FROM vic_raw WHERE body IS NOT NULL""")
 def s32_region_tag(spark, folder):
     return table(spark, folder, "vic_raw").where(F.col("body").isNotNull()).select("raw_id", readers.region_of(F.col("body")).alias("region")).distinct()
 
@@ -215,34 +215,34 @@ def s32_region_tag(spark, folder):
 @query("""SELECT id, CASE WHEN regexp_full_match(lower(trim(md5)), '[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}') AND lower(trim(md5)) NOT IN ('d41d8cd98f00b204e9800998ecf8427e') THEN lower(trim(md5)) END AS norm,
 CASE length(md5) WHEN 32 THEN 'md5' WHEN 40 THEN 'sha1' WHEN 64 THEN 'sha256' END AS algo FROM f""")
 def c04_normal_hash(spark, folder):
-    return files(spark, folder).select("id", S.normal_hash(F.col("md5")).alias("norm"), S.algorithm_of(F.col("md5")).alias("algo"))
+    return files(spark, folder, "md5").select("id", S.normal_hash(F.col("md5")).alias("norm"), S.algorithm_of(F.col("md5")).alias("algo"))
 
 
 @query("SELECT id, CASE WHEN mtime IS NULL OR mtime = 0 THEN '' ELSE strftime(make_timestamp((floor(mtime) * 1000000)::BIGINT), '%Y-%m-%d %H:%M:%S') END AS utc, CASE WHEN mtime IS NULL OR mtime = 0 THEN '' ELSE strftime(make_timestamp((floor(mtime) * 1000000)::BIGINT) + INTERVAL '9 hours', '%Y-%m-%d %H:%M:%S') END AS tokyo FROM f")
 def c07_epoch_text(spark, folder):
-    return files(spark, folder).select("id", S.epoch_text(F.col("mtime")).alias("utc"), S.epoch_text(F.col("mtime"), "Asia/Tokyo").alias("tokyo"))
+    return files(spark, folder, "mtime").select("id", S.epoch_text(F.col("mtime")).alias("utc"), S.epoch_text(F.col("mtime"), "Asia/Tokyo").alias("tokyo"))
 
 
 @query("SELECT id, round((gps_lon + 180) / 360 * 256.0 * 1024, 4) AS x, round((0.5 - ln((1 + greatest(-0.9999, least(0.9999, sin(radians(gps_lat))))) / (1 - greatest(-0.9999, least(0.9999, sin(radians(gps_lat)))))) / (4 * pi())) * 256.0 * 1024, 4) AS y FROM f WHERE gps_lat BETWEEN -90 AND 90 AND gps_lon BETWEEN -180 AND 180 AND NOT isnan(gps_lat) AND NOT isnan(gps_lon)")
 def c10_mercator_pixel(spark, folder):
     x, y = S.mercator_pixel(F.col("gps_lat"), F.col("gps_lon"), 10)
-    rows = files(spark, folder).where(F.col("gps_lat").between(-90, 90) & F.col("gps_lon").between(-180, 180) & ~F.isnan("gps_lat") & ~F.isnan("gps_lon"))
+    rows = files(spark, folder, "gps_lat", "gps_lon").where(F.col("gps_lat").between(-90, 90) & F.col("gps_lon").between(-180, 180) & ~F.isnan("gps_lat") & ~F.isnan("gps_lon"))
     return rows.select("id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
 @query("SELECT id, regexp_extract(path, '([^/]*)$', 1) AS base, lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^.+(\\.[^.]*)$', 1)) AS suffix FROM f")
 def c12_paths(spark, folder):
-    return files(spark, folder).select("id", S.base_name(F.col("path")).alias("base"), S.suffix(F.col("path")).alias("suffix"))
+    return files(spark, folder, "path").select("id", S.base_name(F.col("path")).alias("base"), S.suffix(F.col("path")).alias("suffix"))
 
 
 @query(f"SELECT id, {_LABEL} AS label FROM f")
 def c15_category_label(spark, folder):
-    return files(spark, folder).select("id", reports.category_label(F.col("category")).alias("label"))
+    return files(spark, folder, "category").select("id", reports.category_label(F.col("category")).alias("label"))
 
 
 @query("SELECT id, lower(CASE WHEN regexp_matches(n, '^[A-Za-z_]') THEN n ELSE '_' || n END) AS name FROM (SELECT id, regexp_replace(trim(regexp_replace(rel_path, '[^\\p{L}\\p{M}\\p{N}_\\s]', '', 'g')), '\\s+', '_', 'g') AS n FROM f)")
 def c21_identifier(spark, folder):
-    return files(spark, folder).select("id", S.identifier(F.col("rel_path")).alias("name"))
+    return files(spark, folder, "rel_path").select("id", S.identifier(F.col("rel_path")).alias("name"))
 
 
 @query("SELECT * FROM (VALUES (1, 48.8577::DOUBLE, 2.295::DOUBLE), (2, -33.8688, 151.2093), (3, NULL, NULL), (4, NULL, NULL), (5, 42.6116667, -74.9313333)) t(id, lat, lon)")
@@ -259,24 +259,24 @@ def s29_dms_degrees(spark, folder):
 
 @query("SELECT id, coalesce(try_cast(regexp_extract(rel_path, '[0-9]+\\.?[0-9]*([eE][-+]?[0-9]+)?', 0) AS DOUBLE), 0.0::DOUBLE) AS n FROM f")
 def c26_leading_number(spark, folder):
-    return files(spark, folder).select("id", S.leading_number(F.regexp_extract("rel_path", r"[0-9]+.*", 0)).alias("n"))
+    return files(spark, folder, "rel_path").select("id", S.leading_number(F.regexp_extract("rel_path", r"[0-9]+.*", 0)).alias("n"))
 
 
 @query("SELECT id, user_id AS file_id, event_type AS flag FROM (SELECT DISTINCT f.id, e.user_id, e.event_type FROM f JOIN events e ON e.user_id = f.id)")
 def j04_flags(spark, folder):
     flags = table(spark, folder, "events").select(F.col("user_id").alias("file_id"), F.col("event_type").alias("flag")).distinct()
-    return files(spark, folder).join(flags, F.col("id") == F.col("file_id")).select("id", "file_id", "flag")
+    return files(spark, folder, "id").join(flags, F.col("id") == F.col("file_id")).select("id", "file_id", "flag")
 
 
 @query("SELECT id FROM f WHERE id IN (SELECT user_id FROM events WHERE event_type = 'error')")
 def f09_flagged(spark, folder):
     flagged = table(spark, folder, "events").where(F.col("event_type") == "error").select(F.col("user_id").alias("id"))
-    return files(spark, folder).join(flagged, "id", "left_semi").select("id")
+    return files(spark, folder, "id").join(flagged, "id", "left_semi").select("id")
 
 
 @query("SELECT id, coalesce(vstack_id, stack_id, id) AS grp FROM f WHERE coalesce(vstack_id, stack_id, id) IN (SELECT coalesce(vstack_id, stack_id, id) FROM f WHERE category = 1)")
 def j13_categorize_group(spark, folder):
-    base = files(spark, folder)
+    base = files(spark, folder, "category", "stack_id", "vstack_id")
     chosen = base.where(F.col("category") == 1).select(S.group_key().alias("grp"))
     return base.withColumn("grp", S.group_key()).join(chosen, "grp", "left_semi").select("id", "grp")
 
@@ -284,5 +284,5 @@ def j13_categorize_group(spark, folder):
 @query("SELECT id FROM f WHERE kind IN ('image', 'video') AND id NOT IN (SELECT file_id FROM content_vecs WHERE file_id IS NOT NULL)")
 def j14_not_yet_indexed(spark, folder):
     done = table(spark, folder, "content_vecs").select(F.col("file_id").alias("id"))
-    return files(spark, folder).where(F.col("kind").isin("image", "video")).join(done, "id", "left_anti").select("id")
+    return files(spark, folder, "kind").where(F.col("kind").isin("image", "video")).join(done, "id", "left_anti").select("id")
 

@@ -98,9 +98,10 @@ def import_media(media: DataFrame) -> DataFrame:
     return media.where(F.col("path").isNotNull()).groupBy("path").agg(first, F.min(given).getField("category").alias("category"), F.count(F.lit(1)).alias("records")).select("path", "f.md5", "f.size", "category", "records")
 
 
-def region_of(context: Column) -> Column:
-    """Region tag in the metadata address of an export."""
-    return F.nullif(F.regexp_extract(context, r"/[0-9.]+\.xml/([A-Za-z-]+)/\$metadata", 1), F.lit(""))
+def region_of(body: Column) -> Column:
+    """Region tag, in capitals, in the metadata address that an export names as its context; null without one."""
+    context = F.regexp_extract(body, r'"@odata\.context"\s*:\s*"([^"]*)"', 1)
+    return F.upper(F.nullif(F.regexp_extract(context, r"\.xml/([A-Za-z][A-Za-z-]*)/\$metadata", 1), F.lit("")))
 
 
 def embedded_images(pages: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def oracle(tiny):
 
 def _plain(v):
     if isinstance(v, float):
-        return "nan" if v != v else round(v, 6)
+        return v if v != v else round(v, 6)
     if isinstance(v, (list, tuple)):
         return tuple(_plain(x) for x in v)
     if type(v).__name__ == "Decimal":
