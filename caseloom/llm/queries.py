@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+from ..session import cut, table
 from . import clusters, groups, leaks, levels, survivors, tokens
 
 
@@ -13,7 +13,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return clusters.describe_clusters(clusters.similarity_clusters(table(spark, folder, "content_vecs")))
+    vectors = table(spark, folder, "content_vecs")
+    return clusters.describe_clusters(vectors, cut(clusters.similarity_clusters(vectors).select("file_id", "cluster_id")))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,6 +51,10 @@ SQL: dict[str, str] = {
     "p3_found": """WITH v AS (SELECT DISTINCT file_id, vec::DOUBLE[] AS vec FROM content_vecs WHERE len(vec) = 768 AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
 p AS (SELECT a.file_id AS x, b.file_id AS y FROM v a, v b WHERE list_cosine_similarity(a.vec, b.vec) >= 0.8 OR a.file_id = b.file_id)
 SELECT x AS file_id, min(y) AS cluster_id FROM p GROUP BY x HAVING count(*) > 1""",
+    "p3_clusters": """WITH v AS (SELECT DISTINCT file_id, vec::DOUBLE[] AS vec FROM content_vecs WHERE len(vec) = 768 AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
+p AS (SELECT a.file_id AS x, b.file_id AS y, list_cosine_similarity(a.vec, b.vec) AS c FROM v a, v b WHERE list_cosine_similarity(a.vec, b.vec) >= 0.8 OR a.file_id = b.file_id),
+m AS (SELECT x, min(y) AS cluster_id, round(sum(c), 6) AS degree FROM p GROUP BY x HAVING count(*) > 1)
+SELECT cluster_id, count(*) AS size, (list(x ORDER BY degree DESC, x))[1] AS medoid, (list(x ORDER BY degree DESC, x))[1:3] AS typical FROM m GROUP BY 1""",
     "p4_found": f"""WITH f AS (SELECT DISTINCT * FROM files), u AS (SELECT *, CASE WHEN {_HEX.format(c="md5", n=32)} AND lower(trim(md5)) <> 'd41d8cd98f00b204e9800998ecf8427e' THEN lower(trim(md5)) END AS content FROM f),
 l AS (SELECT DISTINCT content, replace(p, chr(92), '/') AS at FROM (SELECT content, unnest(from_json(alt_paths, '["VARCHAR"]')) AS p FROM (SELECT * FROM u WHERE content IS NOT NULL AND json_valid(alt_paths) AND json_type(CASE WHEN json_valid(alt_paths) THEN alt_paths ELSE 'null' END) = 'ARRAY')) WHERE p IS NOT NULL),
 m AS (SELECT content AS md5, id, path, created_dt, camera, gps_lat, gps_lon, origin, ingested_at FROM u WHERE content IS NOT NULL UNION ALL SELECT l.content, u.id, path, created_dt, camera, gps_lat, gps_lon, origin, ingested_at FROM u JOIN l ON replace(u.path, chr(92), '/') = l.at WHERE u.content IS NULL),
