@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 #: Texts that stand for "no value" in the case tables.
 PLACEHOLDERS = ("", "unknown", "n/a", "none", "null", "-")
 
-_EDGES = r"^[\s\x00]+|[\s\x00]+$"
+_EDGES = " \t\n\x0b\f\r\x00"
 
 
 def tidy(c: Column) -> Column:
     """The text without surrounding white space and NUL characters."""
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c.cast("string"), F.lit(_EDGES))
 
 
 def is_blank(c: Column) -> Column:

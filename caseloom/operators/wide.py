@@ -69,16 +69,19 @@ def with_read_value(rows: DataFrame, attribute: str, raw: str, attributes: tuple
     generated code stays small.
     """
     of = {k: F.col(attribute).isin(*[a.field for a in attributes if a.read == k] or [""]) for k in ("text", "whole", "orientation", "flash", "f_number", "exposure")}
-    pick = lambda pattern: F.split(F.regexp_replace("_text", pattern, "$1|$2|$3"), r"\|", -1)
-    staged = rows.withColumn("_text", tidy(F.col(raw))).withColumn("_low", F.regexp_replace(F.lower("_text"), r"\s+", " "))
-    parts = (
-        F.when(of["whole"] & F.col("_text").rlike(_WHOLE), F.array(F.regexp_replace("_text", _WHOLE, "$1")))
-        .when(of["f_number"] & F.col("_text").rlike(_F_NUMBER), pick(_F_NUMBER))
-        .when(of["exposure"] & F.col("_text").rlike(_EXPOSURE), pick(_EXPOSURE))
-        .when(of["orientation"], F.array(F.regexp_extract("_low", r"^([1-8])(?:\.0+)?(?:\s*\(.*\))?$", 1)))
-        .when(of["flash"] & F.col("_low").rlike(r"^[0-9]{1,3}$"), F.array("_low"))
+    # A pattern that matches leaves its groups behind a mark, so that every text is matched once only.
+    taken = lambda pattern, groups: F.regexp_replace("_text", pattern, "\x01" + groups)
+    staged = rows.withColumn("_text", tidy(F.col(raw)))
+    staged = staged.withColumn("_low", F.when(of["orientation"] | of["flash"], F.regexp_replace(F.lower("_text"), r"\s+", " ")).when(of["text"], F.lower("_text")))
+    marked = (
+        F.when(of["whole"], F.when(F.col("_text").rlike("^[0-9]{1,9}$"), F.concat(F.lit("\x01"), "_text")).otherwise(taken(_WHOLE, "$1")))
+        .when(of["f_number"], taken(_F_NUMBER, "$1|$2|$3"))
+        .when(of["exposure"], taken(_EXPOSURE, "$1|$2|$3"))
+        .when(of["orientation"], F.concat(F.lit("\x01"), F.regexp_extract("_low", r"^([1-8])(?:\.0+)?(?:\s*\(.*\))?$", 1)))
+        .when(of["flash"] & F.col("_low").rlike(r"^[0-9]{1,3}$"), F.concat(F.lit("\x01"), "_low"))
     )
-    staged = staged.withColumn("_parts", parts)
+    staged = staged.withColumn("_marked", marked)
+    staged = staged.withColumn("_parts", F.when(F.col("_marked").startswith("\x01"), F.split(F.expr("substring(_marked, 2)"), r"\|", -1)))
     staged = staged.select("*", F.get("_parts", F.lit(0)).alias("_top"), F.get("_parts", F.lit(1)).alias("_bottom"), F.lower(F.get("_parts", F.lit(2))).alias("_unit"))
     staged = staged.withColumn("_ratio", F.when(of["f_number"] | of["exposure"], _ratio("_top", "_bottom")))
     scale = F.when(F.col("_unit").isin("us", "\u00b5s"), F.lit(1)).when(F.col("_unit").startswith("m"), F.lit(1000)).otherwise(F.lit(1_000_000))
@@ -98,7 +101,7 @@ def with_read_value(rows: DataFrame, attribute: str, raw: str, attributes: tuple
         .when(of["orientation"], F.coalesce(F.nullif(F.col("_top"), F.lit("")), F.try_element_at(words, F.col("_low"))))
         .when(of["flash"], F.when(fired, "true").when(quiet, "false").when(F.col("_n").between(0, 127), F.when(F.col("_n") % 2 == 1, "true").otherwise("false")))
     )
-    return staged.withColumn("val", val).drop("_text", "_low", "_parts", "_top", "_bottom", "_unit", "_ratio", "_n")
+    return staged.withColumn("val", val).drop("_text", "_low", "_marked", "_parts", "_top", "_bottom", "_unit", "_ratio", "_n")
 
 
 def pivot_attributes(
@@ -114,14 +117,15 @@ def pivot_attributes(
     """
     rows = rows.select(*entity, "name_id", "seq", "value").dropna(subset=list(entity))
     names = names.select(F.col("id").alias("name_id"), "field").where(F.col("field").isin(*[a.field for a in attributes])).distinct()
+    position = F.create_map(*[x for i, a in enumerate(attributes) for x in (F.lit(a.field), F.lit(i))])
+    names = names.withColumn("pos", F.element_at(position, F.col("field")))
     named = rows.join(small(names, 100_000), "name_id")
     read = with_read_value(named, "field", "value", attributes).withColumn("seq", F.coalesce("seq", F.lit(2**31 - 1)))
     # The partial aggregate runs before the shuffle: an entity with a third of all rows leaves each map task as
     # at most one row per attribute. Unreadable values are dropped inside the aggregate, as a filter on them
     # would be pushed down through the staged projections and repeat their work.
-    first = read.groupBy(*entity, "field").agg(F.min(F.when(F.col("val").isNotNull(), F.struct("seq", "val"))).alias("first"))
-    position = F.create_map(*[x for i, a in enumerate(attributes) for x in (F.lit(a.field), F.lit(i))])
-    values = first.select(*entity, F.element_at(position, F.col("field")).alias("pos"), F.col("first.val").alias("val"))
+    first = read.groupBy(*entity, "pos").agg(F.min(F.when(F.col("val").isNotNull(), F.struct("seq", "val"))).alias("first"))
+    values = first.select(*entity, "pos", F.col("first.val").alias("val"))
     grid = rows.select(*entity).distinct().withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(len(attributes) - 1))))
     cells = grid.join(values, [*entity, "pos"], "left").groupBy(*entity).agg(F.array_sort(F.collect_list(F.struct("pos", "val"))).alias("cells"))
     return cells.select(*entity, *[F.col("cells")[i]["val"].try_cast(a.type).alias(a.field) for i, a in enumerate(attributes)])
