@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import stat
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,24 +17,70 @@ from .. import schema
 from ..functions import scalars as S
 
 
+class _Folders(InputPartition):
+    def __init__(self, folders: list[tuple[str, bool]]) -> None:
+        self.folders = folders
+
+
+class _HeadReader(DataSourceReader):
+    """Heads and times of files; folders are dealt to partitions, the files of deep ones are listed by the tasks."""
+
+    def __init__(self, options: dict) -> None:
+        self.root, self.width = options["root"], int(options.get("width", "32"))
+
+    def partitions(self) -> list[InputPartition]:
+        below = sorted(e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
+        lots = [below[k :: self.width] for k in range(self.width)]
+        return [_Folders([(self.root, False)]), *[_Folders([(f, True) for f in lot]) for lot in lots if lot]]
+
+    def read(self, partition: _Folders) -> Iterator[tuple]:
+        for folder, deep in partition.folders:
+            for where, folders, names in os.walk(folder):
+                if not deep:
+                    folders.clear()
+                for name in names:
+                    path = os.path.join(where, name)
+                    try:
+                        s = os.stat(path, follow_symlinks=False)
+                        if not stat.S_ISREG(s.st_mode):
+                            continue
+                        with open(path, "rb") as fh:
+                            head = fh.read(16)
+                    except OSError:
+                        continue
+                    yield path, s.st_size, s.st_mtime, s.st_ctime, s.st_atime, head
+
+
+class FileHeads(DataSource):
+    """Files below a folder that all executors see: path, size, three times and the first 16 bytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_heads"
+
+    def schema(self) -> str:
+        return "path string, size long, mtime double, ctime double, atime double, head binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _HeadReader(self.options)
+
+
 def scan_folder(spark: SparkSession, root: str, include_other: bool = False, most_bytes: int | None = None) -> DataFrame:
-    """Files under a folder: path, rel_path, ext, kind, size and mtime.
+    """Files under a folder: path, rel_path, ext, kind, size, mtime, ctime and atime.
 
-    The kind comes from the extension, else from the first 16 bytes; resource forks of the ``._`` kind are
-    demoted. Only the head of each file leaves the scan.
+    The kind comes from the extension, else from the first 16 bytes, which are all that is read of a file; resource
+    forks of the ``._`` kind are demoted.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    spark.dataSource.register(FileHeads)
+    rows = spark.read.format("file_heads").option("root", root.rstrip("/") or "/").load()
     if most_bytes is not None:
-        raw = raw.where(F.col("length") <= most_bytes)
-    plain = F.regexp_replace("path", "^file:/+", "/")
-    head = F.substring("content", 1, 16)
-    rows = raw.select(plain.alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").cast("double").alias("mtime"), head.alias("head"))
+        rows = rows.where(F.col("size") <= most_bytes)
     ext = S.suffix(F.col("path"))
     by_ext = S.kind_by_extension(ext)
     fork = S.base_name(F.col("path")).startswith("._") & F.hex("head").startswith("00051607")
     kind = F.when(fork, "other").when(by_ext != "other", by_ext).otherwise(F.coalesce(S.kind_by_magic(F.col("head")), F.lit("other")))
     base = root.rstrip("/") + "/"
-    rows = rows.select("path", F.expr("path").substr(len(base) + 1, 1_000_000).alias("rel_path"), ext.alias("ext"), kind.alias("kind"), "size", "mtime")
+    rows = rows.select("path", F.expr("path").substr(len(base) + 1, 1_000_000).alias("rel_path"), ext.alias("ext"), kind.alias("kind"), "size", "mtime", "ctime", "atime")
     return rows if include_other else rows.where(F.col("kind") != "other")
 
 
@@ -80,8 +129,10 @@ def archive_members(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("archive_members").option("paths", "\n".join(paths)).load()
 
 
-def read_media_index(spark: SparkSession, path: str, row_tag: str = "Image") -> DataFrame:
-    """Entries of an XML media index in UTF-16: path, category (0 is none), size, hashes and times."""
+def read_media_index(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
+    """Entries of an XML media index in UTF-16, pictures and films: path, category (0 is none), size, hashes and times."""
+    if row_tag is None:
+        return reduce(DataFrame.unionByName, [read_media_index(spark, path, tag) for tag in ("Image", "Movie")])
     fields = "path string, category string, id string, fullpath string, created string, hash string, sha1Hash string, fileSize string"
     raw = spark.read.format("xml").option("rowTag", row_tag).option("encoding", "UTF-16").schema(fields).load(path)
     code = F.col("category").try_cast("int")
