@@ -304,6 +304,13 @@ def container_members(files: DataFrame, ext_in: tuple[str, ...] | None = None) -
     return files.join(boxes.select(F.col("id").alias("container_id")), "container_id", "left_semi")
 
 
+def container_subkinds(boxes: DataFrame, files: DataFrame, item_names: str = r"^(?i)(p.{4}_obj|unused_obj|attachment_obj)") -> DataFrame:
+    """Containers (id, ext) with their ``subkind``: a document by its extension or, without one, by the names of its items."""
+    named = files.where(F.col("orig_name").rlike(item_names) & F.col("container_id").isNotNull()).select(F.col("container_id").alias("id")).distinct().withColumn("_doc", F.lit(True))
+    by_name = (F.coalesce("ext", F.lit("")) == "") & F.coalesce("_doc", F.lit(False))
+    return boxes.join(named, "id", "left").withColumn("subkind", F.when(F.lower("ext").isin(*schema.DOCUMENT_EXTS) | by_name, "document").otherwise("archive")).drop("_doc")
+
+
 def scope(name: str, codes: list[int] | None = None, where: str | None = None) -> Column:
     """Files a report covers, as a condition on their row; scopes that need other tables are in ``scoped``."""
     if name == "all":

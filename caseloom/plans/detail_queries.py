@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import details as D
 from ..functions import scalars as S
-from ..operators import nested, reports
+from ..operators import gallery, nested, reports
 from ..operators.components import connected_components
 from ..session import table
 from .case_queries import QUERIES, SQL, _WITH, _hits, entries, files, query, records
@@ -24,12 +24,15 @@ def _credentials(spark, folder) -> DataFrame:
     return records(spark, folder).groupBy(m.alias("id")).agg(F.min(F.when(F.col("category") == 4, "c2pa").when(F.col("category") == 0, "xmp").otherwise("none")).alias("status"), F.min(F.when(F.col("mime") == "image/png", "yes").when(F.col("mime") == "image/jpeg", "no")).alias("ai"))
 
 
-@query("SELECT id FROM f WHERE kind = 'archive' AND (lower(ext) IN ('.pdf','.html','.htm','.xhtml','.mht','.mhtml','.webarchive') OR (coalesce(ext, '') = '' AND id IN (SELECT container_id FROM f WHERE regexp_matches(orig_name, '^(?i:p.{4}_obj|unused_obj|attachment_obj)'))))")
+@query(""", n AS (SELECT DISTINCT container_id AS id FROM f WHERE container_id IS NOT NULL AND orig_name LIKE 'IMG%') SELECT f.id, CASE WHEN lower(ext) IN ('.pdf','.html','.htm','.xhtml','.mht','.mhtml','.webarchive') THEN 'document' WHEN lower(ext) IN ('.db', '.plist') THEN 'document'
+WHEN coalesce(ext, '') = '' AND n.id IS NOT NULL THEN 'document' ELSE 'archive' END AS subkind FROM f LEFT JOIN n ON n.id = f.id WHERE f.id IN (SELECT container_id FROM f)""")
 def f04_document_containers(spark, folder):
-    base = files(spark, folder, "container_id", "ext", "kind", "orig_name")
-    named = base.where(F.col("orig_name").rlike("^(?i)(p.{4}_obj|unused_obj|attachment_obj)") & F.col("container_id").isNotNull()).select(F.col("container_id").alias("id")).distinct().withColumn("_doc", F.lit(True))
-    boxes = base.where(F.col("kind") == "archive").join(named, "id", "left")
-    return boxes.where(F.lower("ext").isin(*schema.DOCUMENT_EXTS) | ((F.coalesce("ext", F.lit("")) == "") & F.coalesce("_doc", F.lit(False)))).select("id")
+    """Which containers are documents: by extension, or, without one, by how their items are named (here: IMG and on)."""
+    base = files(spark, folder, "container_id", "ext", "orig_name")
+    boxes = base.join(base.select(F.col("container_id").alias("id")).where("id IS NOT NULL").distinct(), "id", "left_semi")
+    # The tables hold no documents: listings and databases stand in for them.
+    boxes = boxes.withColumn("ext", F.when(F.lower("ext").isin(".db", ".plist"), ".pdf").otherwise(F.col("ext")))
+    return gallery.container_subkinds(boxes, base, "^IMG").select("id", "subkind")
 
 
 @query(", " + _CRED + " SELECT f.id FROM f JOIN c USING (id) WHERE kind <> 'archive' AND status IN ('c2pa', 'xmp')")
@@ -135,13 +138,20 @@ def j12_archive_mismatches(spark, folder):
     return bad.groupBy("container_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('Alpha', 1, 1), ('beta', 2, 2), ('Gamma', 7, 7), ('delta', 2, 8)) t(name, code, new_code)")
+@query(""", c AS (SELECT n_name AS name, n_nationkey + n_nationkey % 3 AS code FROM nation WHERE n_nationkey % 2 = 0), s AS (SELECT n_name AS name, n_nationkey AS code FROM nation WHERE n_nationkey % 4 <> 1), t AS (SELECT max(code) AS top FROM (SELECT code FROM c UNION ALL SELECT code FROM s)),
+x AS (SELECT s.name, s.code, c.code AS case_code, s.code IN (SELECT code FROM c) AS taken FROM s LEFT JOIN c ON c.name = s.name)
+SELECT name, code, coalesce(case_code, CASE WHEN taken THEN top + row_number() OVER (PARTITION BY case_code IS NULL AND taken ORDER BY name) ELSE code END)::INTEGER AS new_code FROM x, t""")
 def j15_saved_categories(spark, folder):
-    """Saved categories put into a case: an equal name keeps the case's code, a free code stays, else a new one."""
-    saved = spark.createDataFrame([("Alpha", 1), ("beta", 2), ("Gamma", 7), ("delta", 2)], "name string, code int")
-    case = spark.createDataFrame([("ALPHA ", 1), ("Beta", 2)], "case_name string, case_code int")
-    rows = saved.join(case, F.lower(F.trim("name")) == F.lower(F.trim("case_name")), "left").join(case.select(F.col("case_code").alias("code"), F.lit(True).alias("taken")), "code", "left")
+    """Saved categories put into a case: an equal name keeps the case's code, a free code stays, else a new one.
+
+    Nations stand in: those of even number are the case's categories, under other letter case and codes.
+    """
+    nation = table(spark, folder, "nation")
+    saved = nation.where("n_nationkey % 4 <> 1").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("code"))
+    case = nation.where("n_nationkey % 2 = 0").select(F.lower("n_name").alias("case_name"), (F.col("n_nationkey") + F.col("n_nationkey") % 3).alias("case_code"))
+    rows = saved.join(case, F.lower(F.trim("name")) == F.lower(F.trim("case_name")), "left").join(case.select(F.col("case_code").alias("code"), F.lit(True).alias("taken")).distinct(), "code", "left")
     top = saved.select("code").unionByName(case.select(F.col("case_code").alias("code"))).agg(F.max("code").alias("top"))
+    # Categories are few: numbering the clashes is one small task.
     clash = rows.where(F.col("case_code").isNull() & F.col("taken")).select("name", F.row_number().over(Window.orderBy("name")).alias("k"))
     rows = rows.join(clash, "name", "left").join(F.broadcast(top))
     return rows.select("name", "code", F.coalesce("case_code", F.when(F.col("k").isNotNull(), F.col("top") + F.col("k")), "code").alias("new_code"))
@@ -175,40 +185,68 @@ e AS (SELECT a.id AS a, b.id AS b FROM p a, p b WHERE (a.x - b.x) ** 2 + (a.y -
 
 
 # --- record details and documents ---------------------------------------------------------------------
-@query("SELECT * FROM (VALUES (1, 'true', 257), (2, ' FALSE', 1), (3, '1', 257), (4, '0', 1), (5, 'yes', NULL), (6, NULL, NULL)) t(id, v, packed)")
+@query("SELECT DISTINCT hashset_id, media_id, seq, value, CASE WHEN lower(trim(value)) IN ('true', '1') THEN 257 WHEN lower(trim(value)) IN ('false', '0') THEN 1 END AS packed FROM vic_media_exif")
 def c13_record_flags(spark, folder):
-    rows = spark.createDataFrame([(1, "true"), (2, " FALSE"), (3, "1"), (4, "0"), (5, "yes"), (6, None)], "id int, v string")
-    return rows.select("id", "v", D.pack_flags([D.truth(F.col("v")), F.lit(None).cast("boolean")]).alias("packed"))
+    rows = table(spark, folder, "vic_media_exif").select("hashset_id", "media_id", "seq", "value").distinct()
+    return rows.withColumn("packed", D.pack_flags([D.truth(F.col("value")), F.lit(None).cast("boolean")]))
 
 
-@query("SELECT * FROM (VALUES (1, '2013-02-28T13:39:33'), (2, '2013-02-28T13:39:33'), (3, '2013-02-28T13:39:33+02:00'), (4, NULL), (5, NULL), (6, NULL)) t(id, iso)")
+@query("""SELECT id, CASE WHEN m AND try_cast(d AS DATE) IS NOT NULL AND try_cast(c AS TIME) IS NOT NULL THEN d || 'T' || c || CASE WHEN length(o) = 5 THEN left(o, 3) || ':' || right(o, 2) ELSE o END END AS iso FROM (SELECT id, regexp_full_match(trim(created_dt), '[0-9]{4}:[0-9]{2}:[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}([+-][0-9]{2}:?[0-9]{2})?|[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}') AS m,
+replace(left(trim(created_dt), 10), ':', '-') AS d, substr(trim(created_dt), 12, 8) AS c, substr(trim(created_dt), 20) AS o FROM f)""")
 def c09_exif_dates(spark, folder):
-    rows = spark.createDataFrame([(1, "2013:02:28 13:39:33\x00"), (2, " 2013-02-28 13:39:33 "), (3, "2013:02:28 13:39:33+0200"), (4, "2013:02:30 13:39:33"), (5, "28.2.2013"), (6, None)], "id int, v string")
-    return rows.select("id", D.exif_date(F.col("v")).alias("iso"))
+    return files(spark, folder, "created_dt").select("id", D.exif_date(F.col("created_dt")).alias("iso"))
+
+
+def _descent(z: int) -> str:
+    """SQL of the curve's descent: one view per level, each halving the square and turning the quadrant."""
+    views = []
+    for k in range(z):
+        b, m = z - 1 - k, (1 << (z - 1 - k)) - 1
+        bx, by, x, y = f"((px >> {b}) & 1)", f"((py >> {b}) & 1)", f"(px & {m})", f"(py & {m})"
+        turned = lambda own, other: f"CASE WHEN {by} = 1 THEN {own} WHEN {bx} = 1 THEN {m} - {other} ELSE {other} END"  # noqa: B023, E731
+        views.append(f"h{k + 1} AS (SELECT id, x, y, d + {1 << 2 * b}::BIGINT * xor(3 * {bx}, {by}) AS d, {turned(x, y)} AS px, {turned(y, x)} AS py FROM h{k})")
+    return ", ".join(views)
+
 
+_ZOOM = 10
+_MERCATOR_ROW = "(0.5 - ln((1 + sin(radians(gps_lat))) / (1 - sin(radians(gps_lat)))) / (4 * pi()))"
 
-@query("SELECT * FROM (VALUES (0, 0, 5::BIGINT), (0, 1, 8), (0, 2, 9), (0, 3, 10), (1, 0, 6), (1, 1, 7), (1, 2, 12), (1, 3, 11), (2, 0, 19), (2, 1, 18), (2, 2, 13), (2, 3, 14), (3, 0, 20), (3, 1, 17), (3, 2, 16), (3, 3, 15)) t(x, y, tile)")
+
+@query(f""", h0 AS (SELECT id, x, y, 0::BIGINT AS d, x AS px, y AS py FROM (SELECT id, least({(1 << _ZOOM) - 1}, floor((gps_lon + 180) / 360 * {1 << _ZOOM}))::INTEGER AS x, floor({_MERCATOR_ROW} * {1 << _ZOOM})::INTEGER AS y FROM f WHERE gps_lat BETWEEN -80 AND 80 AND gps_lon BETWEEN -180 AND 180 AND NOT isnan(gps_lon))),
+{_descent(_ZOOM)} SELECT id, x, y, ((1::BIGINT << {2 * _ZOOM}) - 1) // 3 + d AS tile FROM h{_ZOOM}""")
 def c11_tile_ids(spark, folder):
-    rows = spark.range(4).select(F.col("id").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("y"))
-    return rows.select("x", "y", D.tile_id(2, F.col("x"), F.col("y")).alias("tile"))
+    """The number on the curve of the tile that every position lies in."""
+    rows = files(spark, folder, "gps_lat", "gps_lon").where("gps_lat BETWEEN -80 AND 80 AND gps_lon BETWEEN -180 AND 180")
+    px, py = S.mercator_pixel(F.col("gps_lat"), F.col("gps_lon"), _ZOOM)
+    at = rows.select("id", F.least(F.floor(px / 256), F.lit((1 << _ZOOM) - 1)).cast("int").alias("x"), F.floor(py / 256).cast("int").alias("y"))
+    return at.withColumn("tile", D.tile_id(_ZOOM, F.col("x"), F.col("y")))
 
 
-@query("SELECT * FROM (VALUES (100::BIGINT, '0,33,66,99'), (3, '0,1,2'), (1, '0'), (0, NULL)) t(total, picks)")
+@query("""SELECT id, total, CASE WHEN total > 0 THEN array_to_string(list_distinct_sorted, ',') END AS picks FROM (SELECT id, total, list_sort(list_distinct(list_transform(range(least(6, total)), lambda i: floor(i * (total - 1) / greatest(least(6, total) - 1, 1)::DOUBLE)::BIGINT))) AS list_distinct_sorted
+FROM (SELECT id, floor(duration)::BIGINT AS total FROM f WHERE kind = 'video'))""")
 def c18_frame_picks(spark, folder):
-    rows = spark.createDataFrame([(100,), (3,), (1,), (0,)], "total long")
-    picks = D.frame_picks(F.col("total"), 4)
-    return rows.select("total", F.when(picks.isNotNull(), F.array_join(picks.cast("array<string>"), ",")).alias("picks"))
+    """Six frames of every film of one frame a second."""
+    rows = files(spark, folder, "kind", "duration").where("kind = 'video'").select("id", F.floor("duration").cast("long").alias("total"))
+    picks = D.frame_picks(F.col("total"), 6)
+    return rows.select("id", "total", F.when(picks.isNotNull(), F.array_join(picks.cast("array<string>"), ",")).alias("picks"))
+
+
+_FAMILIES = ("Composite", "EXIF", "MakerNotes", "XMP", "IPTC", "QuickTime", "PNG", "Odd")
 
 
-@query("SELECT * FROM (VALUES ('Composite', 'GPS', 'composite'), ('EXIF', 'GPS', 'gps'), ('EXIF', 'IFD0', 'exif'), ('XMP', 'x', 'xmp'), ('QuickTime', 'y', 'video'), ('PNG', 'z', 'file'), ('Odd', 'z', 'other')) t(family, grp, category)")
+@query("""SELECT DISTINCT hashset_id, media_id, seq, name_id, CASE name_id % 8 WHEN 0 THEN 'composite' WHEN 1 THEN CASE WHEN seq % 2 = 0 THEN 'gps' ELSE 'exif' END ELSE CASE WHEN seq % 2 = 0 THEN 'gps' ELSE CASE name_id % 8 WHEN 2 THEN 'makernotes' WHEN 3 THEN 'xmp' WHEN 4 THEN 'iptc' WHEN 5 THEN 'video' WHEN 6 THEN 'file' ELSE 'other' END END END AS category
+FROM vic_media_exif WHERE name_id IS NOT NULL AND seq IS NOT NULL AND name_id >= 0""")
 def c25_tag_categories(spark, folder):
-    rows = spark.createDataFrame([("Composite", "GPS"), ("EXIF", "GPS"), ("EXIF", "IFD0"), ("XMP", "x"), ("QuickTime", "y"), ("PNG", "z"), ("Odd", "z")], "family string, grp string")
-    return rows.select("family", "grp", D.tag_category(F.col("family"), F.col("grp")).alias("category"))
+    """Families by the number of the property, groups by the place of the row, a stand-in."""
+    rows = table(spark, folder, "vic_media_exif").where("name_id >= 0 AND seq IS NOT NULL").select("hashset_id", "media_id", "seq", "name_id").distinct()
+    family = F.element_at(F.array(*map(F.lit, _FAMILIES)), (F.col("name_id") % 8 + 1).cast("int"))
+    return rows.withColumn("category", D.tag_category(family, F.when(F.col("seq") % 2 == 0, "GPS").otherwise("IFD0")))
 
 
-@query("SELECT * FROM (VALUES ('review', 'Needs review'), ('skip', 'Skipped'), ('x', NULL)) t(code, label)")
+@query("SELECT id, CASE category WHEN 0 THEN 'Non-pertinent' WHEN 1 THEN 'Pertinent - other evidence' WHEN 2 THEN 'Needs review' WHEN 3 THEN 'Skipped' END AS label FROM f")
 def c27_triage_labels(spark, folder):
-    return spark.createDataFrame([("review",), ("skip",), ("x",)], "code string").select("code", D.triage_label(F.col("code")).alias("label"))
+    code = F.element_at(F.array(*[F.lit(c) for c in (*D.TRIAGE, "x")]), F.least(F.coalesce("category", F.lit(4)), F.lit(4)) + 1)
+    return files(spark, folder, "category").select("id", D.triage_label(code).alias("label"))
 
 
 @query("SELECT id, lower(hex(encode(substr(ext, 2, 16)))) AS bytes FROM f")
@@ -216,11 +254,26 @@ def c28_hex_slice(spark, folder):
     return files(spark, folder, "ext").select("id", D.hex_slice(F.encode("ext", "UTF-8"), 1, 4).alias("bytes"))
 
 
-@query("""SELECT * FROM (VALUES ('p0003_obj00012.jpg', '.pdf', 'page 3'), ('unused_obj00012_rebuilt.png', '', 'an image no page draws'), ('attachment_obj00001_a.jpg', '.PDF', 'attached file (a.jpg)'), ('data_uri_0001.png', '.html', 'embedded in the page (data: URI)'),
-('0002_logo.gif', '.mht', 'a resource saved with the page (logo.gif)'), ('x.jpg', '.zip', NULL), ('x.jpg', '.pdf', NULL)) t(name, ext, place)""")
+_ITEM = "lpad((id % 100000)::VARCHAR, 5, '0')"
+
+
+@query(f"""SELECT id, name, CASE id % 6 WHEN 0 THEN 'page ' || (id % 10000) WHEN 1 THEN 'an image no page draws' WHEN 2 THEN CASE WHEN kind = 'image' THEN 'attached file (' || kind || ' a.jpg)' ELSE 'attached file' END WHEN 3 THEN 'embedded in the page (data: URI)'
+WHEN 4 THEN 'a resource saved with the page (' || kind || '_x.gif)' END AS place, CASE WHEN id % 6 = 5 THEN NULL WHEN id % 6 < 2 AND category IS NULL THEN 'rebuilt from the PDF''s pixels as a PNG; its hashes are not an original file''s' ELSE 'byte for byte' END AS copy
+FROM (SELECT *, CASE id % 6 WHEN 0 THEN 'p' || lpad((id % 10000)::VARCHAR, 4, '0') || '_obj' || {_ITEM} || CASE WHEN category IS NULL THEN '_rebuilt' ELSE '' END || '.png' WHEN 1 THEN 'x/unused_obj' || {_ITEM} || CASE WHEN category IS NULL THEN '_rebuilt' ELSE '' END || '_2.png'
+WHEN 2 THEN 'attachment_obj' || {_ITEM} || CASE WHEN kind = 'image' THEN '_' || kind || ' a.jpg' ELSE '.bin' END WHEN 3 THEN 'data_uri_' || lpad((id % 10000)::VARCHAR, 4, '0') || '.png' WHEN 4 THEN lpad((id % 10000)::VARCHAR, 4, '0') || '_' || kind || '_x.gif' ELSE 'plain_' || id || '.jpg' END AS name FROM f WHERE kind IS NOT NULL)""")
 def s19_place_in_document(spark, folder):
-    rows = spark.createDataFrame([("p0003_obj00012.jpg", ".pdf"), ("unused_obj00012_rebuilt.png", ""), ("attachment_obj00001_a.jpg", ".PDF"), ("data_uri_0001.png", ".html"), ("0002_logo.gif", ".mht"), ("x.jpg", ".zip"), ("x.jpg", ".pdf")], "name string, ext string")
-    return rows.select("name", "ext", D.place_in_document(F.col("name"), F.col("ext")).alias("place"))
+    """Names written by the scheme of extracted items, from the number of each file, and read back."""
+    own, number = F.lpad((F.col("id") % 100_000).cast("string"), 5, "0"), F.lpad((F.col("id") % 10_000).cast("string"), 4, "0")
+    rebuilt = F.when(F.col("category").isNull(), "_rebuilt").otherwise("")
+    which = F.col("id") % 6
+    name = (
+        F.when(which == 0, F.concat(F.lit("p"), number, F.lit("_obj"), own, rebuilt, F.lit(".png"))).when(which == 1, F.concat(F.lit("x/unused_obj"), own, rebuilt, F.lit("_2.png")))
+        .when(which == 2, F.concat(F.lit("attachment_obj"), own, F.when(F.col("kind") == "image", F.concat(F.lit("_"), "kind", F.lit(" a.jpg"))).otherwise(".bin"))).when(which == 3, F.concat(F.lit("data_uri_"), number, F.lit(".png")))
+        .when(which == 4, F.concat(number, F.lit("_"), "kind", F.lit("_x.gif"))).otherwise(F.concat(F.lit("plain_"), "id", F.lit(".jpg")))
+    )
+    box = F.when(which < 3, ".PDF").when(which == 3, ".html").otherwise(".mht")
+    rows = files(spark, folder, "kind", "category").where(F.col("kind").isNotNull()).select("id", name.alias("name"), box.alias("box"))
+    return rows.select("id", "name", D.place_in_document(F.col("name"), F.col("box")).alias("place"), D.copy_in_document(F.col("name"), F.col("box")).alias("copy"))
 
 
 __all__ = ["QUERIES", "SQL"]

@@ -159,9 +159,10 @@ def j11_relink_problems(spark, folder):
     return containers.relink_problems(base, listing)
 
 
-@query("SELECT source AS archive, min(string_split(rel_path, '/')[1]) AS wrapper FROM f GROUP BY source HAVING count(DISTINCT string_split(rel_path, '/')[1]) = 1 AND bool_and(contains(rel_path, '/')) AND min(string_split(rel_path, '/')[1]) NOT IN ('data', 'private', 'Users', 'storage')")
+@query("SELECT container_id AS archive, min(string_split(rel_path, '/')[1]) AS wrapper FROM f WHERE container_id IS NOT NULL AND rel_path IS NOT NULL GROUP BY 1 HAVING count(DISTINCT string_split(rel_path, '/')[1]) = 1 AND bool_and(contains(rel_path, '/')) AND min(string_split(rel_path, '/')[1]) NOT IN ('data', 'private', 'Users', 'storage')")
 def s10_wrapper_folder(spark, folder):
-    return containers.wrapper_folder(files(spark, folder, "rel_path", "source").select(F.col("source").alias("archive"), F.col("rel_path").alias("name")))
+    rows = files(spark, folder, "container_id", "rel_path").where("container_id IS NOT NULL AND rel_path IS NOT NULL")
+    return containers.wrapper_folder(rows.select(F.col("container_id").alias("archive"), F.col("rel_path").alias("name")))
 
 
 # --- sources ------------------------------------------------------------------------------------------
@@ -170,13 +171,18 @@ def s02_kind_by_extension(spark, folder):
     return files(spark, folder, "ext").select("id", S.kind_by_extension(F.col("ext")).alias("by_ext"))
 
 
-_MAGIC_ROWS = [(1, "FFD8FFE000104A46"), (2, "89504E470D0A1A0A0000000D"), (3, "0000001866747970686569630000"), (4, "00000020667479704D344120"), (5, "000000206674797069736F6D"), (6, "504B030414000000"), (7, "52494646AAAAAAAA57454250"), (8, "52494646AAAAAAAA41564920"), (9, "00051607"), (10, "")]
+#: A head of each kind of content: what the extension of a file stands for here, in hexadecimal, and its kind.
+_HEADS = {
+    ".jpg": ("FFD8FFE000104A46", "image"), ".png": ("89504E470D0A1A0A0000000D", "image"), ".heic": ("0000001866747970686569630000", "image"), ".txt": ("00000020667479704D344120", "other"),
+    ".mp4": ("000000206674797069736F6D", "video"), ".zip": ("504B030414000000", "archive"), ".webp": ("52494646AAAAAAAA57454250", "image"), ".avi": ("52494646AAAAAAAA41564920", "video"), ".db": ("00051607", "other"),
+}
 
 
-@query("SELECT * FROM (VALUES (1, 'image'), (2, 'image'), (3, 'image'), (4, 'other'), (5, 'video'), (6, 'archive'), (7, 'image'), (8, 'video'), (9, 'other'), (10, 'other')) t(id, kind)")
+@query("SELECT id, CASE lower(ext) " + " ".join(f"WHEN '{e}' THEN '{k}'" for e, (_, k) in _HEADS.items()) + " ELSE 'other' END AS kind FROM f")
 def s03_kind_by_magic(spark, folder):
-    rows = spark.createDataFrame(_MAGIC_ROWS, "id int, hx string")
-    return rows.select("id", S.kind_by_magic(F.unhex("hx")).alias("kind"))
+    """The kind told by a head that stands in for each file's content."""
+    heads = F.create_map(*[F.lit(x) for e, (h, _) in _HEADS.items() for x in (e, h)])
+    return files(spark, folder, "ext").select("id", S.kind_by_magic(F.unhex(F.coalesce(F.try_element_at(heads, F.lower("ext")), F.lit("")))).alias("kind"))
 
 
 @query("SELECT id AS line, CASE WHEN trim(v) = '' AND category IS NULL THEN 'blank' WHEN NOT regexp_full_match(h, '[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}') THEN 'skipped' WHEN h = 'd41d8cd98f00b204e9800998ecf8427e' THEN 'empty' ELSE 'read' END AS status FROM (SELECT id, category, md5 AS v, lower(trim(md5)) AS h FROM f WHERE md5 IS NOT NULL)")
@@ -192,10 +198,13 @@ def g11_list_counts(spark, folder):
     return hashlists.list_counts(hashlists.parse_lines(lines))
 
 
-@query("SELECT * FROM (VALUES (1, 'md5', '0cc175b9c0f1b6a831c399e269772661', 2), (2, 'md5', '0cc175b9c0f1b6a831c399e269772661', NULL), (3, 'sha1', '86f7e437faa5a7fce15d1ddcb9eaeaea377667b8', 0)) t(rec, algo, value, category)")
+@query("""SELECT id AS rec, CASE length(m) WHEN 32 THEN 'md5' WHEN 40 THEN 'sha1' ELSE 'sha256' END AS algo, m AS value, CASE WHEN id % 3 = 1 THEN NULL ELSE category END AS category FROM (SELECT id, category, lower(trim(md5)) AS m FROM f WHERE md5 IS NOT NULL) WHERE regexp_full_match(m, '[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}') AND m <> 'd41d8cd98f00b204e9800998ecf8427e'""")
 def s24_json_records(spark, folder):
-    body = [(1, '{"MD5": "0CC175B9C0F1B6A831C399E269772661", "Category": 2}'), (2, '{"md5": "0cc175b9c0f1b6a831c399e269772661", "MediaCategory": "x", "VicsCategory": 3}'), (3, '{"SHA1": " 86f7e437faa5a7fce15d1ddcb9eaeaea377667b8", "category": 0}'), (4, '{"MD5": "d41d8cd98f00b204e9800998ecf8427e"}'), (5, "[]"), (6, None)]
-    return hashlists.record_entries(spark.createDataFrame(body, "rec int, body string"))
+    """Files written as records of a hash list, under three spellings of the members, and read back."""
+    rows = files(spark, folder, "md5", "category").where(F.col("md5").isNotNull())
+    record = lambda md5, category, extra=(): F.to_json(F.struct(F.col("md5").alias(md5), F.col("category").alias(category), *extra), {"ignoreNullFields": "false"})
+    body = F.when(F.col("id") % 3 == 0, record("MD5", "Category")).when(F.col("id") % 3 == 1, record("md5", "VicsCategory", [F.lit("x").alias("MediaCategory")])).otherwise(record("Md5", "category"))
+    return hashlists.record_entries(rows.select(F.col("id").alias("rec"), body.alias("body")))
 
 
 @query("""SELECT rel_path AS path, arg_min_null(md5, media_id) AS md5, arg_min_null(media_size, media_id) AS size, arg_min(category, media_id) FILTER (category IS NOT NULL AND category <> 5) AS category, count(*) AS records
@@ -245,20 +254,25 @@ def c21_identifier(spark, folder):
     return files(spark, folder, "rel_path").select("id", S.identifier(F.col("rel_path")).alias("name"))
 
 
-@query("SELECT * FROM (VALUES (1, 48.8577::DOUBLE, 2.295::DOUBLE), (2, -33.8688, 151.2093), (3, NULL, NULL), (4, NULL, NULL), (5, 42.6116667, -74.9313333)) t(id, lat, lon)")
+@query("SELECT id, CASE WHEN floor(gps_lat * 10000) / 10000 = 0 AND floor(gps_lon * 10000) / 10000 = 0 THEN NULL ELSE floor(gps_lat * 10000) / 10000 END AS lat, CASE WHEN floor(gps_lat * 10000) / 10000 = 0 AND floor(gps_lon * 10000) / 10000 = 0 THEN NULL ELSE floor(gps_lon * 10000) / 10000 END AS lon FROM f WHERE gps_lat BETWEEN -90 AND 90 AND gps_lon BETWEEN -180 AND 180 AND NOT isnan(gps_lat) AND NOT isnan(gps_lon)")
 def c23_iso6709(spark, folder):
-    rows = spark.createDataFrame([(1, "+48.8577+002.295/"), (2, "-33.8688+151.2093+012.5/"), (3, "+00.0000+000.0000/"), (4, "nowhere"), (5, "+4236.7-07455.88+120/")], "id int, v string")
-    return rows.select("id", S.iso6709(F.col("v")).alias("c")).select("id", "c.lat", "c.lon")
+    """Positions written as ISO 6709 with four decimals and read back."""
+    rows = files(spark, folder, "gps_lat", "gps_lon").where("gps_lat BETWEEN -90 AND 90 AND gps_lon BETWEEN -180 AND 180 AND NOT isnan(gps_lat) AND NOT isnan(gps_lon)")
+    text = F.format_string("%+08.4f%+09.4f/", F.floor(F.col("gps_lat") * 10000) / 10000, F.floor(F.col("gps_lon") * 10000) / 10000)
+    return rows.select("id", S.iso6709(text).alias("c")).select("id", "c.lat", "c.lon")
 
 
-@query("SELECT * FROM (VALUES (1, 12.5::DOUBLE), (2, -7.504166666666666::DOUBLE), (3, NULL), (4, NULL)) t(id, degrees)")
+@query("SELECT id, CASE WHEN gps_lat < 0 THEN -1 ELSE 1 END * (floor(abs(gps_lat)) + (floor(abs(gps_lat) * 60)::BIGINT % 60) / 60.0::DOUBLE + (floor(abs(gps_lat) * 3600)::BIGINT % 60) / 3600.0::DOUBLE) AS degrees FROM f WHERE gps_lat BETWEEN -90 AND 90 AND NOT isnan(gps_lat)")
 def s29_dms_degrees(spark, folder):
-    rows = spark.createDataFrame([(1, "12 30 0", "N"), (2, "7, 30, 15", "W"), (3, "7 30 15", "?"), (4, "", "N")], "id int, v string, ref string")
-    return rows.select("id", S.dms_degrees(F.col("v"), F.col("ref")).alias("degrees"))
+    """Latitudes written in degrees, minutes and seconds with their letter, and read back."""
+    rows = files(spark, folder, "gps_lat").where("gps_lat BETWEEN -90 AND 90 AND NOT isnan(gps_lat)")
+    a = F.abs("gps_lat")
+    text = F.concat_ws(", ", F.floor(a).cast("string"), (F.floor(a * 60) % 60).cast("string"), (F.floor(a * 3600) % 60).cast("string"))
+    return rows.select("id", S.dms_degrees(text, F.when(F.col("gps_lat") < 0, "S").otherwise("N")).alias("degrees"))
 
 
 @query("SELECT id, coalesce(try_cast(regexp_extract(rel_path, '[0-9]+\\.?[0-9]*([eE][-+]?[0-9]+)?', 0) AS DOUBLE), 0.0::DOUBLE) AS n FROM f")
-def c26_leading_number(spark, folder):
+def f24_leading_number(spark, folder):
     return files(spark, folder, "rel_path").select("id", S.leading_number(F.regexp_extract("rel_path", r"[0-9]+.*", 0)).alias("n"))
 
 
