@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,27 +30,36 @@ def file_digests(files: DataFrame) -> DataFrame:
 def match_known(files: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per file and set with the strongest hit: by digest, then store, then smallest category.
 
-    ``entries`` has algo, value, set_name, store, kind, vic and category. The aggregate replaces a window, so
-    that a digest listed or held very often combines before its shuffle.
+    ``entries`` has algo, value, set_name, store, kind, vic and category. Entries are first reduced to the
+    strongest of each digest and set, so a digest that a set lists very often meets its files once.
     """
-    hits = file_digests(files).join(entries.select("algo", "value", "set_name", "store", "kind", "vic", "category"), ["algo", "value"])
-    best = F.min(F.struct(_ranked(ALGORITHM_RANK, F.col("algo")).alias("a"), _ranked(STORE_RANK, F.col("store")).alias("s"), F.coalesce("category", F.lit(9999)).alias("c"), "algo", "store", "kind", "vic", "category", "value"))
+    rank = F.struct(_ranked(STORE_RANK, F.col("store")).alias("s"), F.coalesce("category", F.lit(9999)).alias("c"), "store", "kind", "vic", "category")
+    listed = entries.groupBy("algo", "value", "set_name").agg(F.min(rank).alias("e"))
+    hits = file_digests(files).join(listed, ["algo", "value"])
+    best = F.min(F.struct(_ranked(ALGORITHM_RANK, F.col("algo")).alias("a"), "e.s", "e.c", "algo", "e.store", "e.kind", "e.vic", "e.category", "value"))
     return hits.groupBy("id", "set_name").agg(best.alias("b")).select("id", "set_name", "b.algo", "b.store", "b.kind", "b.vic", "b.category", "b.value")
 
 
 def match_perceptual(files: DataFrame, entries: DataFrame, exact: DataFrame, bits: int = schema.MATCH_BITS) -> DataFrame:
     """For files without an exact hit, the nearest listed perceptual hash within ``bits``.
 
-    Fewer bits than bytes may differ, so equality in one of eight bytes is a lossless candidate test. Ties go
-    to the smaller set name, then the smaller value.
+    With at most six differing bits two of the eight bytes are equal, so equality in a pair of bytes is a lossless
+    candidate test (up to seven bits: in one byte). Equal hashes are compared once, on either side. Ties go to the
+    smaller set name, then the smaller value.
     """
+    if bits > 7:
+        raise ValueError("hashes that differ in more than seven bits may share no byte")
     unmatched = files.join(exact.select("id").distinct(), "id", "left_anti").select("id", hex_to_long(hex_digits(F.col("phash"), 16)).alias("h")).where(F.col("h").isNotNull())
-    banded = lambda df, *keep: df.select(*keep, "h", F.posexplode(F.array(*[F.shiftrightunsigned("h", 8 * i).bitwiseAND(F.lit(255)) for i in range(8)])).alias("band", "key"))
-    listed = entries.select("set_name", "value", hex_to_long(hex_digits(F.col("value"), 16)).alias("h")).where(F.col("h").isNotNull()).distinct()
-    other = banded(listed, "set_name", "value").withColumnRenamed("h", "e")
+    byte = lambda i: F.shiftrightunsigned("h", 8 * i).bitwiseAND(F.lit(255))
+    keys = [byte(i) * 256 + byte(k) for i, k in combinations(range(8), 2)] if bits <= 6 else [byte(i) for i in range(8)]
+    banded = lambda df, *keep: df.select(*keep, F.posexplode(F.array(*keys)).alias("band", "key"))
+    listed = entries.select("set_name", "value", hex_to_long(hex_digits(F.col("value"), 16)).alias("h")).where(F.col("h").isNotNull())
+    listed = listed.groupBy("h").agg(F.min(F.struct("set_name", "value")).alias("x"))
+    other = banded(listed, F.col("h").alias("e"), "x")
     d = F.bit_count(F.col("h").bitwiseXOR(F.col("e")))
-    near = banded(unmatched, "id").join(other, ["band", "key"]).withColumn("d", d).where(F.col("d") <= bits)
-    return near.groupBy("id").agg(F.min(F.struct("d", "set_name", "value")).alias("b")).select("id", "b.set_name", "b.value", F.col("b.d").alias("distance"))
+    near = banded(unmatched.select("h").distinct(), "h").join(other, ["band", "key"]).withColumn("d", d).where(F.col("d") <= bits)
+    best = near.groupBy("h").agg(F.min(F.struct("d", "x")).alias("b"))
+    return unmatched.join(best, "h").select("id", "b.x.set_name", "b.x.value", F.col("b.d").alias("distance"))
 
 
 def source_bit() -> Column:

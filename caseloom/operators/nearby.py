@@ -108,7 +108,7 @@ def distinct_positions(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     Files at one spot become one position: a spot with a third of all files is one point of the tree. Chunks
     are cut within map tasks first, so a hot spot leaves each task as arrays, not rows.
     """
-    key = F.xxhash64(F.col("gps_lat") + 0.0, F.col("gps_lon") + 0.0)
+    key = F.struct((F.col("gps_lat") + 0.0).alias("lat"), (F.col("gps_lon") + 0.0).alias("lon"))
     usable = points.where(usable_position(F.col("gps_lat"), F.col("gps_lon")) & F.col("id").isNotNull()).select("id", (F.col("gps_lat") + 0.0).alias("lat"), (F.col("gps_lon") + 0.0).alias("lon"), key.alias("pos")).distinct()
     xyz = dict(zip(_AXES, unit_xyz(F.col("lat"), F.col("lon"))))
     salted = usable.groupBy("pos", "lat", "lon", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -172,30 +172,38 @@ def _tiles_of(region_id: int, ring: list) -> Iterator[tuple]:
                 odd = sum((o > lon) != (p > lon) and lat < (b - a) * (lon - o) / (p - o) + a for a, o, b, p in edges) % 2
                 state = "in" if odd else None
             if state:
-                yield region_id, ty, tx % 360, float(tx - tx % 360), state, [dict(zip("aobp", e)) for e in edges] if state == "cut" else None
+                if state == "cut":
+                    # Edges beside the tile or below it meet no ray to the north; those above it and across all of it meet every one.
+                    lo, hi, top = tx * _TILE, (tx + 1) * _TILE, (ty + 1) * _TILE
+                    met = [e for e in edges if min(e[1], e[3]) <= hi and max(e[1], e[3]) >= lo and max(e[0], e[2]) >= ty * _TILE]
+                    whole = [min(e[0], e[2]) > top and min(e[1], e[3]) < lo and max(e[1], e[3]) > hi for e in met]
+                    own = [dict(zip("aobp", e)) for e, w in zip(met, whole) if not w]
+                    yield region_id, ty, tx % 360, float(tx - tx % 360), state, own, sum(whole) % 2 == 1
+                else:
+                    yield region_id, ty, tx % 360, float(tx - tx % 360), state, None, False
 
 
 def region_tiles(regions: DataFrame) -> DataFrame:
-    """Regions cut to one-degree tiles: (region_id, ty, tx, turn, state, edges).
+    """Regions cut to one-degree tiles: (region_id, ty, tx, turn, state, edges, odd).
 
-    State ``in`` where the whole tile lies inside; tiles wholly outside are left out; ``edges`` comes with the
-    tiles an edge may cross. Null ids and rings of fewer than three usable corners give nothing; repeated
+    State ``in`` where the whole tile lies inside; tiles wholly outside are left out; ``edges`` are, for tiles an
+    edge may cross, those that a ray to the north may or may not meet, ``odd`` whether it meets an odd number of the others. Null ids and rings of fewer than three usable corners give nothing; repeated
     regions count once. A ring around a pole is not an area of the lat/lon plane and is not supported.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [t for r in zip(batch["region_id"], batch["ring"]) for t in _tiles_of(*r)]
-            yield pd.DataFrame(rows, columns=["region_id", "ty", "tx", "turn", "state", "edges"])
+            yield pd.DataFrame(rows, columns=["region_id", "ty", "tx", "turn", "state", "edges", "odd"])
 
     wanted = regions.select("region_id", "ring").dropna().distinct()
-    return wanted.mapInPandas(run, "region_id int, ty int, tx int, turn double, state string, edges array<struct<a double, o double, b double, p double>>")
+    return wanted.mapInPandas(run, "region_id int, ty int, tx int, turn double, state string, edges array<struct<a double, o double, b double, p double>>, odd boolean")
 
 
 def point_in_edges(lat: Column, lon: Column) -> Column:
     """Even-odd rule over the column ``edges``: an odd number of edges crossed by the ray to the north."""
     crosses = lambda e: ((e["o"] > lon) != (e["p"] > lon)) & (lat < (e["b"] - e["a"]) * (lon - e["o"]) / (e["p"] - e["o"]) + e["a"])
-    return F.size(F.filter("edges", crosses)) % 2 == 1
+    return (F.size(F.filter("edges", crosses)) % 2 == 1) != F.col("odd")
 
 
 def points_in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:

@@ -160,17 +160,20 @@ def j15_saved_categories(spark, folder):
 def marker_clusters(points: DataFrame, pixels: float, zoom: int) -> DataFrame:
     """(id, cluster): markers of a map chained together by distances of at most some pixels.
 
-    Candidates share a cell of that size or a neighbouring one, so no pair further apart is ever looked at;
-    markers at one pixel position count as one.
+    Markers of one small cell are near without being compared, so a busy place costs as many links as it has markers;
+    only markers of neighbouring cells are compared. Markers at one pixel position count as one.
     """
     x, y = S.mercator_pixel(F.col("lat"), F.col("lon"), zoom)
     at = points.select("id", x.alias("x"), y.alias("y"))
+    side = pixels / 2**0.5 * 0.999999  # any two markers of one cell are near enough
     spots = at.groupBy("x", "y").agg(F.min("id").alias("head"))
-    cell = spots.select("head", "x", "y", F.floor(F.col("x") / pixels).alias("cx"), F.floor(F.col("y") / pixels).alias("cy"))
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    cell = spots.select("head", "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
+    tops = cell.groupBy("cx", "cy").agg(F.min("head").alias("a"))
+    own = cell.join(tops, ["cx", "cy"]).where(F.col("a") != F.col("head")).select("a", F.col("head").alias("b"))
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1, 2) for j in range(-2, 3) if (i, j) > (0, 0)])
     other = cell.select(F.col("head").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy", F.explode(near).alias("n")).select("b", "x2", "y2", (F.col("cx") + F.col("n.i")).alias("cx"), (F.col("cy") + F.col("n.j")).alias("cy"))
-    pairs = cell.join(other, ["cx", "cy"]).where((F.col("head") < F.col("b")) & ((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 <= pixels**2))
-    groups = connected_components(pairs.select(F.col("head").alias("a"), "b")).select(F.col("id").alias("head"), F.col("head").alias("top"))
+    across = cell.join(other, ["cx", "cy"]).where((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 <= pixels**2)
+    groups = connected_components(own.unionByName(across.select(F.col("head").alias("a"), "b"))).select(F.col("id").alias("head"), F.col("head").alias("top"))
     return at.join(spots, ["x", "y"]).join(groups, "head", "left").select("id", F.coalesce("top", "head").alias("cluster"))
 
 
