@@ -1,9 +1,9 @@
 """Consolidating pairwise matches into groups, over any number of pairs.
 
 ``connected_groups`` runs union-find within partitions of the edges, keeps only the spanning forests, and
-merges them through fewer and fewer partitions of bounded size. A node all of whose edges ended up under one
-root leaves the work at once; only nodes that still join different roots go on. Nothing is collected: each
-round is a shuffle of what is left, and labels are resolved backwards through the rounds.
+merges them through partitions of bounded size, gathered by either end of the edges in turn. A node all of whose
+edges ended up under one root leaves the work at once; only nodes that still join different roots go on. Nothing is
+collected: each round is a shuffle of what is left, and labels are resolved backwards through the rounds.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def connected_groups(edges: DataFrame, per_partition: int = EDGES_PER_PARTITION)
     """
     left = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where(F.col("a") != F.col("b"))
     settled: list[DataFrame] = []
-    width = None
+    width, before = None, None
     while True:
         stars = left.mapInPandas(local_forest, "node long, root long")
         # A node has at most one root per partition, so its set of roots is bounded by their number.
@@ -42,8 +42,11 @@ def connected_groups(edges: DataFrame, per_partition: int = EDGES_PER_PARTITION)
         n = open_.count()
         if not n:
             break
-        width = max(1, min(math.ceil(n / per_partition), (width or roots.rdd.getNumPartitions() * 2) // 2))
-        left = open_.repartition(width, "a")
+        # As many partitions as keep each within the bound, while every round leaves half of the edges or fewer;
+        # a round that leaves more is followed by one with half as many partitions.
+        most = width or roots.rdd.getNumPartitions()
+        width = max(1, min(math.ceil(n / per_partition), most if before is not None and 2 * n <= before else most // 2))
+        left, before = open_.repartition(width, "ab"[len(settled) % 2]), n
     final = settled[-1]
     for earlier in settled[-2::-1]:
         above = final.select(F.col("node").alias("group"), F.col("group").alias("top"))
@@ -124,11 +127,44 @@ def alike_codes(codes: DataFrame) -> DataFrame:
             "key", "cid", "h", "d", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side")
         )
         links = links.unionByName(units.groupBy("key", "i", "j").applyInPandas(_block_links, "a long, b long"))
-    lone = codes.where(F.col("d").isNull())
-    lone = lone.select(F.col("cid").alias("a"), F.col("h").alias("ha"), _bands(F.col("h"), 4, 2).alias("key"))
-    every = codes.select(F.col("cid").alias("b"), F.col("h").alias("hb"), F.col("d"), _bands(F.col("h"), 4, 2).alias("key"))
-    near = lone.join(every, "key").where((_differ("ha", "hb") <= LONE_PHASH_BITS) & (F.col("a") != F.col("b")) & (F.col("d").isNotNull() | (F.col("a") < F.col("b"))))
-    return links.unionByName(near.select("a", "b"))
+    return links.unionByName(_lone_links(codes))
+
+
+def _lone_block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Spanning edges of the links between a block of lone codes and a block of all codes of a hot bucket."""
+    side, ids, h, whole = (pdf[c].to_numpy() for c in ("side", "cid", "h", "whole"))
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    a: list[np.ndarray] = [np.empty(0, "int64")]
+    b: list[np.ndarray] = [np.empty(0, "int64")]
+    for i in left:
+        near = right[(np.bitwise_count((h[right] ^ h[i]).view("uint64")) <= LONE_PHASH_BITS) & (ids[right] != ids[i]) & (whole[right] | (ids[right] > ids[i]))]
+        a.append(np.full(len(near), ids[i]))
+        b.append(ids[near])
+    node, root = union_find(np.concatenate(a), np.concatenate(b))
+    keep = node != root
+    return pd.DataFrame({"a": node[keep], "b": root[keep]})
+
+
+def _lone_links(codes: DataFrame) -> DataFrame:
+    """Links of codes without a second hash: candidates share two of four blocks; hot buckets go in pairs of blocks."""
+    lone = codes.where(F.col("d").isNull()).select("cid", "h", _bands(F.col("h"), 4, 2).alias("key"))
+    every = codes.select("cid", "h", F.col("d").isNotNull().alias("whole"), _bands(F.col("h"), 4, 2).alias("key"))
+    few = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) * _SEEN / _BLOCK)).cast("int")
+    seen = every.where(F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(_SEEN)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("whole")).alias("m"))
+    hot = cut(seen.where(F.col("n") >= HOT_BUCKET // _SEEN).select("key", few("n").alias("blocks"), few("m").alias("lone_blocks")))
+    any_hot = bool(hot.head(1))
+    cool = lone.join(small(hot.select("key"), 500_000), "key", "left_anti") if any_hot else lone
+    other = every.select("key", F.col("cid").alias("b"), F.col("h").alias("hb"), "whole")
+    near = cool.join(other, "key").where((_differ("h", "hb") <= LONE_PHASH_BITS) & (F.col("cid") != F.col("b")) & (F.col("whole") | (F.col("cid") < F.col("b"))))
+    links = near.select(F.col("cid").alias("a"), "b")
+    if any_hot:
+        at = lambda blocks: F.pmod(F.xxhash64("cid"), F.col(blocks)).cast("int")
+        to = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+        known = small(hot, 500_000)
+        left = lone.join(known, "key").withColumns({"i": at("lone_blocks")}).withColumn("j", to("blocks")).select("key", "i", "j", "cid", "h", F.lit(False).alias("whole"), F.lit(0).alias("side"))
+        right = every.join(known, "key").withColumns({"j": at("blocks")}).withColumn("i", to("lone_blocks")).select("key", "i", "j", "cid", "h", "whole", F.lit(1).alias("side"))
+        links = links.unionByName(left.unionByName(right).groupBy("key", "i", "j").applyInPandas(_lone_block_links, "a long, b long"))
+    return links
 
 
 #: Ids that are only named, not in ``files``, are moved above all others, so that no group is named after one.
