@@ -174,8 +174,22 @@ def _starts(d: np.ndarray, count: np.ndarray, least: float, slack: int) -> Itera
             yield int(i)
 
 
+def least_shared(size: int) -> int:
+    """How many fingerprints an item of ``size`` words shares with any text that holds 60 percent of it, one word in ten edited.
+
+    The edits part the stretch; a piece of c words has c - 5 windows whose least hash both sides choose, and one hash is
+    the least of WINDOW windows at most.
+    """
+    stretch = -(-size * 6 // 10)
+    windows = stretch - stretch // 10 - (SHINGLE + WINDOW - 2) * (stretch // 10 + 1)
+    return max(1, -(-windows // WINDOW))
+
+
 def _item_prints(items: DataFrame, kind: str) -> DataFrame:
-    """(item_id, words, prints): word hashes as bytes and the winnowed fingerprints of every item."""
+    """(item_id, words, prints, need): word hashes as bytes, winnowed fingerprints, and how many a document must share.
+
+    An item that repeats a fingerprint may share fewer different ones; there, one is enough to go on.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = Vocabulary()
@@ -185,10 +199,12 @@ def _item_prints(items: DataFrame, kind: str) -> DataFrame:
                 words = vocabulary.hashes(words_of(t))
                 grams = shingles(words)
                 if len(grams):
-                    rows.append((i, words.tobytes(), np.unique(grams[winnow(grams)]).view("int64")))
-            yield pd.DataFrame(rows, columns=["item_id", "words", "prints"])
+                    places = winnow(grams)
+                    prints = np.unique(grams[places]).view("int64")
+                    rows.append((i, words.tobytes(), prints, least_shared(len(words)) if len(prints) == len(places) else 1))
+            yield pd.DataFrame(rows, columns=["item_id", "words", "prints", "need"])
 
-    return items.mapInPandas(run, f"item_id {kind}, words binary, prints array<long>")
+    return items.mapInPandas(run, f"item_id {kind}, words binary, prints array<long>, need int")
 
 
 def _sieve(prints: DataFrame) -> np.ndarray:
@@ -228,22 +244,22 @@ def _document_prints(documents: DataFrame, sieve: np.ndarray) -> DataFrame:
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of every document and each held-out item it contains in good part.
 
-    An item is contained if one stretch of the document holds about half of its words or more in order, with
-    few words changed, added or dropped. Null and empty texts contain nothing and are contained in nothing;
+    An item is contained if one stretch of the document holds 60 percent of its words or more in order, with at
+    most one word in ten changed, added or dropped; below half of the words it is not. Null and empty texts contain nothing and are contained in nothing;
     items of fewer than five words cannot be told from chance and are not looked for; of items of fewer than 20
     words an edited part may share no stretch of six words and be missed. Repeated rows count once, null ids are left
     out, extra columns are ignored. Documents are read whole, once; what is shuffled are the fingerprints that
-    some item may have, and the words of documents that share one with an item.
+    some item may have, and the words of documents that share enough of them with an item.
     """
     kind = dict(items.dtypes)["item_id"]
     wanted = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
     held_out = cut(_item_prints(wanted, kind))
-    item_prints = held_out.select("item_id", F.explode("prints").alias("print"))
+    item_prints = held_out.select("item_id", "need", F.explode("prints").alias("print"))
     texts = spread(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"))
     # Of several texts of one id, each is looked at; rows are told apart by their words.
     seen = cut(_document_prints(texts, _sieve(item_prints)).withColumn("row", F.xxhash64("doc_id", "words")))
     met = seen.select("doc_id", "row", F.explode("prints").alias("print")).join(small(item_prints, 2_000_000), "print")
-    pairs = met.select("doc_id", "row", "item_id").distinct()
+    pairs = met.groupBy("doc_id", "row", "item_id").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where(F.col("n") >= F.col("need")).select("doc_id", "row", "item_id")
     words = held_out.groupBy("item_id").agg(F.collect_set("words").alias("forms"))  # texts of one item
     lots = F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-held_out.count() // _LOT))))
     lists = pairs.join(small(words, 200_000), "item_id").groupBy("doc_id", "row", lots.alias("lot")).agg(F.collect_list(F.struct("item_id", "forms")).alias("items"))

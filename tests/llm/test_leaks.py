@@ -109,7 +109,7 @@ def test_edited_passages_share_a_fingerprint():
             first = rng.integers(size - long + 1)
             text = item[first : first + long].copy()
             text[rng.choice(long, long // 10, replace=False)] = some(long // 10)
-            assert held_out & prints(np.concatenate([some(30), text, some(30)]))
+            assert len(held_out & prints(np.concatenate([some(30), text, some(30)]))) >= leaks.least_shared(size)
 
 
 def test_several_texts_of_one_id_and_many_decoys(spark):
