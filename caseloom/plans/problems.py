@@ -56,6 +56,26 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p2_found, p6_found, p6_cases, p6_media, p6_exif, p7_found)}
 
+def _as_list(v: str) -> str:
+    """SQL of a list written as an array, as its only object, or as JSON text of either; anything else is empty."""
+    inner = f"ltrim({v} ->> '$', chr(65279))"
+    read = f"CASE WHEN json_valid({inner}) THEN CASE json_type({inner}) WHEN 'ARRAY' THEN {inner}::JSON WHEN 'OBJECT' THEN json_array({inner}::JSON) ELSE '[]'::JSON END ELSE '[]'::JSON END"
+    return f"CASE json_type({v}) WHEN 'ARRAY' THEN {v} WHEN 'OBJECT' THEN json_array({v}) WHEN 'VARCHAR' THEN {read} ELSE '[]'::JSON END"
+
+
+def _member(name: str, of: str, keys: str, rest: str = "") -> str:
+    """SQL of the first member of a name, in any letter case, of the objects ``o`` of a view."""
+    return f"SELECT {keys}, e.value AS v{rest} FROM {of}, json_each(o) e WHERE lower(e.key) = '{name}' QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY e.id) = 1"
+
+
+_SHRED = f"""WITH docs AS (SELECT raw_id, ltrim(body, chr(65279))::JSON AS o FROM (SELECT DISTINCT raw_id, body FROM vic_raw WHERE raw_id IS NOT NULL AND body IS NOT NULL) WHERE json_valid(ltrim(body, chr(65279))) AND json_type(CASE WHEN json_valid(ltrim(body, chr(65279))) THEN ltrim(body, chr(65279)) ELSE 'null' END) = 'OBJECT'),
+top AS ({_member("value", "docs", "raw_id")}), cases AS (SELECT raw_id, e.key::INTEGER AS case_pos, e.value AS o FROM (SELECT raw_id, {_as_list("v")} AS l FROM top), json_each(l) e WHERE json_type(e.value) = 'OBJECT'),
+held AS ({_member("media", "cases", "raw_id, case_pos")}), listed AS (SELECT raw_id, case_pos, e.key::INTEGER AS media_pos, e.value AS o FROM (SELECT raw_id, case_pos, {_as_list("v")} AS l FROM held), json_each(l) e WHERE json_type(e.value) = 'OBJECT'),
+media AS (SELECT *, 'listed' AS variant FROM listed UNION ALL SELECT raw_id, case_pos, 0, o, 'bare' FROM cases ANTI JOIN held USING (raw_id, case_pos)),
+tagged AS ({_member("exifs", "media", "raw_id, case_pos, media_pos")}), exif AS (SELECT raw_id, case_pos, media_pos, e.key::INTEGER AS exif_pos, e.value AS o FROM (SELECT raw_id, case_pos, media_pos, {_as_list("v")} AS l FROM tagged), json_each(l) e WHERE json_type(e.value) = 'OBJECT'),
+named AS ({_member("propertyname", "exif", "raw_id, case_pos, media_pos, exif_pos")})"""
+
+
 _USABLE = "gps_lat BETWEEN -90 AND 90 AND gps_lon BETWEEN -180 AND 180 AND NOT isnan(gps_lat) AND NOT isnan(gps_lon) AND NOT (gps_lat = 0 AND gps_lon = 0)"
 SQL = {
     "p2_found": f"""WITH p AS (SELECT DISTINCT id, gps_lat, gps_lon, 6371000 * cos(radians(gps_lat)) * cos(radians(gps_lon)) AS x, 6371000 * cos(radians(gps_lat)) * sin(radians(gps_lon)) AS y, 6371000 * sin(radians(gps_lat)) AS z FROM files WHERE {_USABLE}),
@@ -66,4 +86,15 @@ w AS (SELECT region_id, i, a, b, q - o - 360 * floor((q - o + 180) / 360) AS d,
 e AS (SELECT region_id, a, b, first_value(o) OVER k + coalesce(sum(d) OVER (PARTITION BY region_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o, d FROM w WINDOW k AS (PARTITION BY region_id ORDER BY i)),
 t AS (SELECT p.id, e.region_id, s.r AS turn, count(*) AS n FROM p, e, (SELECT unnest([-360, 0, 360]) AS r) s WHERE (e.o > p.gps_lon + s.r) <> (e.o + e.d > p.gps_lon + s.r) AND p.gps_lat < (e.b - e.a) * (p.gps_lon + s.r - e.o) / e.d + e.a GROUP BY ALL)
 SELECT 'near' AS kind, l AS left_id, r AS right_id FROM near UNION ALL SELECT DISTINCT 'in', id, region_id::BIGINT FROM t WHERE n % 2 = 1""",
+    "p6_found": _SHRED + " SELECT * FROM (SELECT raw_id, case_pos, media_pos, exif_pos, trim(v ->> '$', ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(0) || chr(160)) AS prop FROM named WHERE json_type(v) = 'VARCHAR') WHERE prop <> ''",
+    "p6_media": _SHRED + ", m AS (SELECT raw_id, case_pos, media_pos, variant, lower(e.key) AS k, e.value AS v FROM media, json_each(o) e QUALIFY row_number() OVER (PARTITION BY raw_id, case_pos, media_pos, lower(e.key) ORDER BY e.id) = 1) SELECT raw_id, case_pos, media_pos, variant, "
+    + ", ".join(f"max(CASE WHEN k = '{m}' THEN v ->> '$' END) AS {c}" for c, m in nested.MEDIA_MEMBERS.items())
+    + " FROM (SELECT * FROM m UNION ALL SELECT raw_id, case_pos, media_pos, variant, '', NULL FROM media) GROUP BY raw_id, case_pos, media_pos, variant",
+    "p6_cases": _SHRED + ", m AS (SELECT raw_id, case_pos, lower(e.key) AS k, e.value AS v FROM cases SEMI JOIN held USING (raw_id, case_pos), json_each(o) e QUALIFY row_number() OVER (PARTITION BY raw_id, case_pos, lower(e.key) ORDER BY e.id) = 1) SELECT raw_id, case_pos, "
+    + ", ".join(f"max(CASE WHEN k = '{m}' THEN v ->> '$' END) AS {c}" for c, m in nested.CASE_MEMBERS.items())
+    + " FROM m GROUP BY raw_id, case_pos",
 }
+SQL["g09_case_summary"] = (
+    f"SELECT m.raw_id, c.case_id, c.case_number, c.application, m.media_count FROM (SELECT raw_id, count(*) AS media_count FROM ({SQL['p6_media']}) GROUP BY 1) m "
+    f"LEFT JOIN (SELECT * FROM ({SQL['p6_cases']}) QUALIFY row_number() OVER (PARTITION BY raw_id ORDER BY case_pos) = 1) c ON c.raw_id = m.raw_id"
+)
