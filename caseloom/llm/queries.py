@@ -14,7 +14,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "content_vecs")
-    return clusters.describe_clusters(vectors, cut(clusters.similarity_clusters(vectors).select("file_id", "cluster_id")))
+    return clusters.describe_clusters(vectors, cut(clusters.similarity_clusters(vectors, with_degree=True).select("file_id", "cluster_id", "degree")))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
